@@ -4,18 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm.common import read_table
+from lamella.llm import mixing, warc
+from lamella.llm.common import read_table, scratch_path
 from lamella.llm.ngram_join import jaccard_groups
+from lamella.llm.packing import pack
+from lamella.llm.quality import quality_scores
+from lamella.llm.secret_scan import scan
+from lamella.llm.url_filter import judge
+
+
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path, 0)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), 0.3)
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(read_table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"), 5, 75)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_dictionary": op1_warc_dictionary,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_url_filter": op9_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc_dictionary": warc.ORACLE, "op5_mix_sources": mixing.ORACLE}

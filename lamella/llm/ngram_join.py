@@ -29,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import Forest, binary_array, bitmap_of, grouped, materialise, only, packed, parts, runs, text_slices
+from lamella.llm.common import Forest, binary_array, bitmap_of, grouped, materialise, only, packed, parts, runs, summed_array, text_slices
 from lamella.llm.components import components
 from lamella.llm.wordhash import gram_hashes, mix, span_hashes, word_spans
 
 _U = np.uint64
 #: Cells of the counting table, and bits of the filter of documents to fetch.
 CELLS, FILTER_BITS = 1 << 22, 1 << 26
-SLICES = 128
 #: Postings that one block of columns holds, about.
 BLOCK_POSTINGS = 250_000
 PAIRS_UP_TO = 48
@@ -65,40 +64,18 @@ def set_name(own: np.ndarray) -> int:
 def frequent(docs: DataFrame, size: int) -> np.ndarray:
     """A bit for each cell that holds more shingles than chance explains."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
         cells = np.zeros(CELLS, np.uint32)
         for _, data, offsets in text_slices(batches):
             got = [s for s in shingle_sets(data, offsets, size) if len(s)]
             if got:
                 at, n = np.unique((np.concatenate(got) >> _U(42)).astype(np.int64), return_counts=True)
                 cells[at] += n.astype(np.uint32)
-        if cells.any():
-            import zlib
-
-            each = cells.reshape(SLICES, -1)
-            part = int(cells[:4096].sum()) % 16
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), binary_array([zlib.compress(x.tobytes(), 1) for x in each])], ["slice", "part", "cells"])
-
-    def add(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        for group in grouped(batches, keys):
-            total = np.zeros(CELLS // SLICES, np.uint32)
-            for blob in group["cells"]:
-                total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([group["slice"][0].as_py()], pa.int32()), pa.array([group["part"][0].as_py()], pa.int32()), binary_array([zlib.compress(total.tobytes(), 1)])], ["slice", "part", "cells"])
-
-    kind = "slice int, part int, cells binary"
-    each = docs.select("text").mapInArrow(count, kind)
-    half = each.repartition(min(parts(docs.sparkSession), 64), "slice", "part").sortWithinPartitions("slice", "part").mapInArrow(lambda b: add(b, ["slice", "part"]), kind)
-    whole = half.repartition(min(parts(docs.sparkSession), 16), "slice").sortWithinPartitions("slice").mapInArrow(lambda b: add(b, ["slice"]), kind)
-    import zlib
-
-    cells = np.zeros((SLICES, CELLS // SLICES), np.uint32)
-    for row in whole.collect():  # SLICES rows, CELLS counters in all
-        cells[row["slice"]] = np.frombuffer(zlib.decompress(bytes(row["cells"])), np.uint32)
+        return cells
+
+    cells = summed_array(docs.select("text"), count, CELLS, np.uint32)
     mean = float(cells.mean(dtype=np.float64))
-    return np.packbits(cells.ravel() > mean + 4 * mean**0.5 + 4)
+    return np.packbits(cells > mean + 4 * mean**0.5 + 4)
 
 
 def order_keys(own: np.ndarray, bits: np.ndarray) -> np.ndarray:
