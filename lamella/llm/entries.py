@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import mixing, warc
+from lamella.llm import mixing, multi_index, warc
 from lamella.llm.common import read_table, scratch_path
+from lamella.llm.fingerprint import fingerprints
 from lamella.llm.ngram_join import jaccard_groups
 from lamella.llm.packing import pack
 from lamella.llm.quality import quality_scores
@@ -22,6 +23,10 @@ def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"))
 
@@ -46,14 +51,20 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "pages"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_dictionary": op1_warc_dictionary,
+    "op2_prefix_fingerprints": op2_prefix_fingerprints,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_mix_sources": op5_mix_sources,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filter": op9_url_filter,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_dictionary": warc.ORACLE, "op5_mix_sources": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_warc_dictionary": warc.ORACLE, "op5_mix_sources": mixing.ORACLE, "op10_embedding_near_dedup": multi_index.ORACLE}
