@@ -14,6 +14,7 @@ from lamella.llm.ngram_join import jaccard_groups
 from lamella.llm.packing import pack
 from lamella.llm.quality import quality_scores
 from lamella.llm.secret_scan import scan
+from lamella.llm.training_order import read_slots, write_shards
 from lamella.llm.url_filter import judge
 
 
@@ -43,6 +44,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "shards")
+    index = write_shards(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 1024)
+    if not index.limit(1).count():
+        return index
+    # what the shards hold, with the place that the index gives it
+    return index.select("slot", "shard", "place", "doc_ids").join(read_slots(spark, path), "slot")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"), 5, 75)
 
@@ -62,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_mix_sources": op5_mix_sources,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_training_order": op7_training_order,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
