@@ -74,7 +74,7 @@ def of_dataclass(cls: type, container: dict[str, Any] | None = None, depth: int
     container = container or {}
     reject(cls.__name__, container)
     name = container.get("rename", cls.__name__)
-    hints = typing.get_type_hints(cls, include_extras=False) if not all(isinstance(f.type, Node) for f in dataclasses.fields(cls)) else {}
+    hints = typing.get_type_hints(cls, localns={c.__name__: c for c in _SCHEMAS}) if not all(isinstance(f.type, Node) for f in dataclasses.fields(cls)) else {}
     fields = []
     for f in dataclasses.fields(cls):
         given = dict(f.metadata.get("lamella", {}))
