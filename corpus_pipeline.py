@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm import mixing
-from lamella.llm.common import DOCUMENT_COLUMNS, column, materialise, read_table
+from lamella.llm.common import DOCUMENT_COLUMNS, materialise, only, read_table
 from lamella.llm.ngram_join import jaccard_groups
 from lamella.llm.packing import pack
 from lamella.llm.quality import keep_good
@@ -19,7 +19,7 @@ _Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _documents(df: DataFrame) -> DataFrame:
-    return df.select(*[column(df, c).alias(c) for c in DOCUMENT_COLUMNS])
+    return only(df, *DOCUMENT_COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +28,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by shingles, the one of the smallest id; documents without words stay."""
-    out = jaccard_groups(docs, 5, 75).where("component_id <> doc_id").select("doc_id").distinct()
-    return _documents(docs).join(out, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    """One document of each group linked by shingles, the one of the smallest id; documents without words stay, and of rows of one id one."""
+    docs = _documents(docs)
+    groups = materialise(jaccard_groups(docs, 5, 75), "groups")
+    out = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(out, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*DOCUMENT_COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

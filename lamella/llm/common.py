@@ -49,17 +49,23 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def column(df: DataFrame, name: str) -> Column:
-    """The column of exactly this name (a frame may hold others that differ only in case)."""
-    found = [x for x in df.columns if x == name] or [x for x in df.columns if x.lower() == name.lower()]
-    if not found:
-        raise ValueError(f"column {name!r} is missing; there are {df.columns}")
-    return df[f"`{found[0]}`"]
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., whatever names they had, twice or in two cases."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, name: str) -> int:
+    """The place of the column of exactly this name, else of one that differs in case only."""
+    for same in (lambda x: x == name, lambda x: x.lower() == name.lower()):
+        found = [i for i, x in enumerate(df.columns) if same(x)]
+        if found:
+            return found[0]
+    raise ValueError(f"column {name!r} is missing; there are {df.columns}")
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, so that extra columns of any name can't clash with the operator's own."""
-    return df.select(*[column(df, x).alias(x) for x in names])
+    return numbered(df).select(*[F.col(f"c{place(df, x)}").alias(x) for x in names])
 
 
 def text_parts(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

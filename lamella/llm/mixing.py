@@ -9,20 +9,15 @@ while the table of sources is small, else in a join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import column
+from lamella.llm.common import numbered, only, place
 
 #: Means above it are drawn as sums of several equal parts, so that exp(-mean) never vanishes.
 MEAN_PART = 32.0
 
 
-def uniform(*parts: Column) -> Column:
-    """In [0, 1), a multiple of 2**-52, from the first 13 hexadecimal digits of the MD5 of the parts joined by colons."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-
-
 def poisson_quantile(mean: str, u: str) -> str:
     """SQL for the least k with P(X <= k) > u, X of Poisson's law with this mean (at most MEAN_PART).
 
@@ -42,7 +37,7 @@ def temperature_weights(sizes: DataFrame, power: float = 0.5) -> DataFrame:
 
 def source_sizes(docs: DataFrame) -> DataFrame:
     """source, chars: the code points of each source's texts, a null source being one of its own."""
-    return docs.select(column(docs, "source").alias("source"), F.coalesce(F.char_length(column(docs, "text")), F.lit(0)).cast("long").alias("n")).groupBy("source").agg(F.sum("n").alias("chars"))
+    return only(docs, "source", "text").select("source", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n")).groupBy("source").agg(F.sum("n").alias("chars"))
 
 
 def rates(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -66,19 +61,20 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, seed: int = 5)
     sources whose weight is 0. Null doc_ids and sources are values like others. Output rows are in
     ascending slot_key over the whole frame. An empty table gives none.
     """
-    own = [c for c in docs.columns if c.lower() not in ("copy", "rate", "slot_key")]
+    keep = [i for i, c in enumerate(docs.columns) if c.lower() not in ("copy", "rate", "slot_key")]
+    names, own = [docs.columns[i] for i in keep], [f"c{i}" for i in keep]
+    doc_id, text, source = (f"c{place(docs, x)}" for x in ("doc_id", "text", "source"))
     rate = rates(docs, weights).select(F.col("source").alias("__mix_source"), F.col("rate"))
-    docs = docs.select(*[docs[f"`{c}`"] for c in own])
-    rated = docs.join(rate, column(docs, "source").eqNullSafe(F.col("__mix_source")))
+    rated = numbered(docs).select(*own).join(rate, F.col(source).eqNullSafe(F.col("__mix_source")))
     split = f"greatest(1, cast(ceil(rate / {MEAN_PART!r}D) as int))"
-    name = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    name = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")))))
     rated = rated.withColumn("__mix_name", name).withColumn("__mix_split", F.expr(split))
     draw = "cast(conv(substring(md5(concat_ws(':', '{0}', __mix_name, cast(part as string))), 1, 13), 16, 10) as double) / 4503599627370496D".format(seed)
     count = f"aggregate(transform(sequence(1, __mix_split), part -> {poisson_quantile('(rate / __mix_split)', '(' + draw + ')')}), 0, (a, k) -> a + k)"
     counted = rated.withColumn("__mix_count", F.expr(count)).where("__mix_count > 0")
     copies = counted.withColumn("copy", F.explode(F.expr("sequence(0, __mix_count - 1)")))
     copies = copies.withColumn("slot_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:slot"), F.col("__mix_name"), F.col("copy").cast("string"))))
-    return copies.orderBy("slot_key").select(*[f"`{c}`" for c in own], "copy", "rate", "slot_key")
+    return copies.orderBy("slot_key").select(*own, "copy", "rate", "slot_key").toDF(*names, "copy", "rate", "slot_key")
 
 
 #: What replicate() does with the default weights and seed 5, for the columns of documents.

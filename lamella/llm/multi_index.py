@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import binary_array, column, grouped, materialise, parts, runs
+from lamella.llm.common import binary_array, grouped, materialise, only, parts
 from lamella.llm.components import components
 
 #: Vectors that the codebooks are fitted on, at most, about; vectors per cell aimed at; brute-force queries, at most, about.
@@ -90,7 +90,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
                 out.append(unit(a[None])[0].tobytes() if ok and np.isfinite(a).all() and a.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), binary_array(out)], ["vec_id", "x"])
 
-    slim = vectors.select(column(vectors, "vec_id").cast("long").alias("vec_id"), column(vectors, "embedding").cast("array<double>").alias("embedding"))
+    slim = only(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     return materialise(slim.mapInArrow(run, "vec_id long, x binary").select(F.monotonically_increasing_id().alias("row"), "vec_id", "x"), "vectors")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import binary_array, only, summed_array, text_slices
+from lamella.llm.common import binary_array, numbered, only, place, summed_array, text_slices
 from lamella.llm.wordhash import mix, span_hashes
 
 #: Rows and width of the tables for words and for shapes; window of neighbours; signs in an index vector.
@@ -194,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(*tables, Network(x, np.array([float(r["quality"]) for r in got])))
 
 
-def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs and the score of each row's text. Only the text goes to Python."""
+def with_score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs and a column score, that of each row's text. Only the text goes to Python."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -204,7 +204,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         found = [known.value.scores(data, offsets) for _, data, offsets in text_slices([batch])]
         return pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    return docs.withColumn(name, score(F.col("text").cast("string")))
+    return docs.withColumn("score", score(F.col(text).cast("string")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -223,5 +223,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, r
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs that quality_scores predicts 1 for, with all their columns. No row moves."""
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = with_score(docs, fit(slim, labels, rows), "__quality_score")
-    return scored.where(F.col("__quality_score") >= threshold).drop("__quality_score")
+    scored = with_score(numbered(docs), fit(slim, labels, rows), f"c{place(docs, 'text')}")
+    return scored.where(F.col("score") >= threshold).drop("score").toDF(*docs.columns)

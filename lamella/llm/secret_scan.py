@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import column
+from lamella.llm.common import numbered, only, place
 from lamella.llm.trees import Ensemble, random_forest
 
 #: Labelled findings that the forest is fitted on, at most.
@@ -88,7 +88,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Ensemble:
     """The forest for these labelled findings (text, before, after, path, label), from at most `rows` of them."""
-    shape = labelled.select(F.struct(*[F.coalesce(column(labelled, x), F.lit("")).alias(x) for x in ("text", "before", "after", "path")]).alias("c"), column(labelled, "label").alias("label")).where("label is not null and char_length(c.text) > 0")
+    shape = only(labelled, "text", "before", "after", "path", "label").select(F.struct(*[F.coalesce(x, F.lit("")).alias(x) for x in ("text", "before", "after", "path")]).alias("c"), "label").where("label is not null and char_length(c.text) > 0")
     share = min(1.0, 0.9 * rows / max(shape.count(), 1))
     draw = shape.where(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows)
     got = draw.select("label", *[F.expr(f"cast({e} as double)").alias(f) for f, e in FEATURES.items()]).collect()
@@ -99,13 +99,14 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Ensemble:
     return random_forest(matrix[:, 1:], matrix[:, 0])
 
 
-def findings(df: DataFrame, forest: Ensemble, text: str = "text", path: str = "source", threshold: float = 0.5) -> DataFrame:
+def findings(df: DataFrame, forest: Ensemble, text: str = "text", path: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """df with two more columns: __scan_parts, the text between candidates, and __scan_found, an array of (start, text, score, secret).
+    text and path name columns of df that no other differs from in case only.
 
     start counts code points from 0. A text without candidates, a null one included, has null for both.
     """
-    t = column(df, text).cast("string")
-    with_parts = df.withColumns({"__scan_raw": F.when(t.rlike(_CANDIDATE), F.regexp_extract_all(t, F.lit(_CANDIDATE), F.lit(0))), "__scan_parts": F.when(t.rlike(_CANDIDATE), F.split(t, _CANDIDATE)), "__scan_path": F.coalesce(column(df, path).cast("string"), F.lit("")) if path else F.lit("")})
+    t = F.col(text).cast("string")
+    with_parts = df.withColumns({"__scan_raw": F.when(t.rlike(_CANDIDATE), F.regexp_extract_all(t, F.lit(_CANDIDATE), F.lit(0))), "__scan_parts": F.when(t.rlike(_CANDIDATE), F.split(t, _CANDIDATE)), "__scan_path": F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")})
     named = ", ".join(f"'{f}', cast({e} as double)" for f, e in FEATURES.items())
     # where each candidate starts: one pass that carries the running length
     starts = "aggregate(sequence(0, size(__scan_raw) - 1), named_struct('at', 0, 'all', cast(array() as array<int>)), (s, i) -> named_struct('at', s.at + char_length(__scan_parts[i]) + char_length(__scan_raw[i]), 'all', array_append(s.all, s.at + char_length(__scan_parts[i])))).all"
@@ -127,7 +128,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     columns are not read.
     """
     forest = fit(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    slim = docs.select(*[column(docs, x).alias(x) for x in ("doc_id", "text", "source")])
+    slim = only(docs, "doc_id", "text", "source")
     rows = findings(slim, forest, threshold=threshold).where("__scan_found is not null").select("doc_id", F.explode("__scan_found").alias("f"))
     return rows.select("doc_id", F.col("f.start").cast("long").alias("start"), F.char_length("f.text").cast("long").alias("length"), F.col("f.score").alias("score"), F.col("f.secret").alias("secret"))
 
@@ -139,11 +140,13 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, mark: str = "[SEC
     text's length in code points for changed rows only.
     """
     forest = fit(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    marked = findings(docs, forest, threshold=threshold)
+    names, at = docs.columns, f"c{place(docs, 'text')}"
+    marked = findings(numbered(docs), forest, at, f"c{place(docs, 'source')}", threshold)
     hit = F.expr("coalesce(exists(__scan_found, f -> f.secret), false)")
     mark_sql = mark.replace("\\", "\\\\").replace("'", "\\'")
     clean = F.expr(f"concat_ws('', transform(__scan_parts, (p, i) -> concat(p, if(i < size(__scan_found), if(__scan_found[i].secret, '{mark_sql}', __scan_found[i].text), ''))))")
-    out = marked.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    out = marked.withColumn(at, F.when(hit, clean).otherwise(F.col(at)))
+    if "n_chars" in names:
+        n = names.index("n_chars")
+        out = out.withColumn(f"c{n}", F.when(hit, F.char_length(at).cast(docs.schema[n].dataType)).otherwise(F.col(f"c{n}")))
+    return out.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)

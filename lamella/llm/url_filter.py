@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import column
+from lamella.llm.common import only
 from lamella.llm.trees import Ensemble, boosted_trees
 
 #: Labelled urls that the trees are fitted on, at most; suffixes whose statistics are kept, the most frequent first.
@@ -93,7 +93,7 @@ class UrlModel:
     """Trees and suffix statistics, from a bounded table of labelled urls."""
 
     def __init__(self, labelled: DataFrame, rows: int = TRAIN_ROWS):
-        known = labelled.select(column(labelled, "url").alias("url"), column(labelled, "label").alias("label")).where("url is not null and label is not null")
+        known = only(labelled, "url", "label").where("url is not null and label is not null")
         share = min(1.0, 0.9 * rows / max(known.count(), 1))
         draw = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows)
         got = self.measured(with_parts(draw)).select("label", "suffix", *FEATURES).collect()
@@ -132,7 +132,7 @@ def judge(pages: DataFrame, rules: Sequence[Sequence[str]] = RULES, labelled: Da
     rows have equal results; other columns are not read.
     """
     model = UrlModel(labelled if labelled is not None else labelled_urls(pages.sparkSession))
-    slim = pages.select(column(pages, "page_id").alias("page_id"), F.coalesce(column(pages, "url").cast("string"), F.lit("")).alias("url"))
+    slim = only(pages, "page_id", "url").select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
     out = model.scored(with_parts(slim))
     verdict = F.coalesce(F.expr(rule_sql(rules, 0)), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.expr(rule_sql(rules, None)).alias("rule"), verdict.alias("verdict"), "score")
