@@ -37,7 +37,7 @@ FEATURES: dict[str, str] = {
     "host_digits": "regexp_count(host, '[0-9]')",
     "host_hyphens": "regexp_count(host, '-')",
     "signs": "regexp_count(url, '[^A-Za-z0-9:/.]') / greatest(char_length(url), 1)",
-    "entropy": "aggregate(transform(array_distinct(split(host, '')), x -> regexp_count(host, concat('[', if(x in ('[', ']', '^', '-', '\\\\', '&'), concat('\\\\', x), x), ']')) / greatest(char_length(host), 1)), 0D, (s, p) -> s - if(p > 0, p * ln(p) / ln(2), 0D))",
+    "entropy": "aggregate(transform(array_distinct(split(host, '')), x -> (char_length(host) - char_length(replace(host, x, ''))) / greatest(char_length(host), 1)), 0D, (s, p) -> s - if(p > 0, p * ln(p) / ln(2), 0D))",
     "parameters": "regexp_count(query, '[^=&]+=')",
     "query_length": "char_length(query)",
     "longest_label": "array_max(transform(split(host, '[.]'), x -> char_length(x)))",

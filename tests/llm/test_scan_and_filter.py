@@ -1,0 +1,152 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lamella.llm import mixing
+from lamella.llm.secret_scan import FEATURES, fit, labelled_findings, redact, scan
+from lamella.llm.trees import apply_tree, boosted_trees, random_forest
+from lamella.llm.url_filter import RULES, UrlModel, judge, labelled_urls
+from tests.llm.helpers import clashing, documents, odd_documents
+
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+def test_secrets_and_look_alikes(spark):
+    rows = [
+        (1, f'text before token = "{HEX}" and after'),
+        (2, f"fixed in commit {HEX} last week"),
+        (3, "order 4913615156729033 was paid"),
+        (4, "é" * 50 + f' api_key: "{HEX.upper()}" token = "{HEX}"'),
+        (5, "see http://host/usr/list/value/v2/index1 for more"),
+        (6, "plain words only"),
+    ]
+    out = sorted((r.doc_id, r.start, r.length, r.secret) for r in scan(documents(spark, rows)).collect())
+    assert [(i, s) for i, _, _, s in out if s] == [(1, True), (4, True), (4, True)]
+    assert {i for i, _, _, s in out if not s} == {2, 3, 5}
+    text = dict(rows)
+    assert all(len(text[i][a : a + n]) == n and not text[i][a : a + n].strip("0123456789abcdefABCDEF") for i, a, n, s in out if s)
+    clean = {r.doc_id: r for r in redact(documents(spark, rows)).collect()}
+    assert clean[1].text == 'text before token = "[SECRET]" and after' and clean[1].n_chars == len(clean[1].text)
+    assert clean[4].text == "é" * 50 + ' api_key: "[SECRET]" token = "[SECRET]"'
+    assert all(clean[i].text == text[i] for i in (2, 3, 5, 6))
+
+
+def test_secret_forest_on_findings_kept_out(spark):
+    findings = labelled_findings(spark, 3000)
+    train, test = findings.where("pmod(xxhash64(text), 4) > 0"), findings.where("pmod(xxhash64(text), 4) = 0")
+    score = F.expr(fit(train).sql([f"f.{x}" for x in FEATURES]))
+    features = F.struct(*[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()])
+    out = test.select(F.struct("text", "before", "after", "path").alias("c"), "label").select("label", features.alias("f")).select("label", score.alias("s")).collect()
+    assert np.mean([(r.s >= 0.5) == r.label for r in out]) > 0.97
+
+
+def test_secret_odd_rows(spark):
+    assert scan(odd_documents(spark)).collect() == []
+    assert redact(odd_documents(spark)).count() == 12
+    assert scan(documents(spark, [])).collect() == []
+    long = ("word " * 40_000) + f'token = "{HEX}"'
+    assert [r.start for r in scan(documents(spark, [(1, long)])).collect() if r.secret] == [200_000 + 9]
+    extra = clashing(documents(spark, [(1, f'token = "{HEX}"', None)]))
+    assert scan(extra).count() == 1
+    assert redact(extra).columns == extra.columns
+
+
+def test_trees_as_sql_equal_the_trees(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)).round(3)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] < -0.3)).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    for model in (random_forest(x, y), boosted_trees(x, y)):
+        raw = model.base + model.scale * sum(apply_tree(t, x) for t in model.trees)
+        expected = 1 / (1 + np.exp(-raw)) if model.logistic else raw
+        got = [r.s for r in df.select("*", F.expr(model.sql(["a", "b", "c"])).alias("s")).collect()]
+        assert np.allclose(got, expected, atol=1e-9)
+        assert ((expected > 0.5) == y).mean() > 0.9
+
+
+def rule_by_hand(url: str | None):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, tail = rest[:cut], rest[cut:]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        path = tail[: min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+    fits = [r for r in RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+    return host, path, best and best[1] + best[2], best and best[0]
+
+
+URLS = [
+    "http://a.example.net/en/1", "http://EXAMPLE.net/en/", "http://example.net/en", "http://x.net", "http://x.net/", "https://example.com/de/9?x=1", "https://sub.example.com/de/", "https://notexample.com/de/", "https://a.org/fr/2#top",
+    "https://org/fr/", "https://a.org/fr", "ftp://h.com?q=/de/", "http://h.net?x", "http://", "nothing", "", None, "http://É.NET/en/", "a://b://c/de/", "http://user@example.com:80/de/", "http://x.net/?a=://y.org/fr/",
+]
+
+
+def test_rules_equal_brute_force(spark):
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(URLS)], "page_id long, url string, html string")
+    out = {r.page_id: r for r in judge(pages).collect()}
+    assert len(out) == len(URLS)
+    for i, u in enumerate(URLS):
+        host, path, rule, verdict = rule_by_hand(u)
+        assert (out[i].host, out[i].path, out[i].rule) == (host, path, rule), u
+        assert out[i].verdict == (verdict or out[i].verdict) and out[i].verdict in ("allow", "block")
+
+
+def test_url_trees_on_urls_kept_out(spark):
+    urls = labelled_urls(spark, 3000)
+    model = UrlModel(urls.where("pmod(xxhash64(url), 4) > 0"))
+    from lamella.llm.url_filter import with_parts
+
+    out = model.scored(with_parts(urls.where("pmod(xxhash64(url), 4) = 0"))).select("label", "score").collect()
+    assert np.mean([(r.score >= 0.5) == r.label for r in out]) > 0.95
+
+
+def test_url_odd_rows(spark):
+    pages = spark.createDataFrame([(1, None, None), (1, None, None), (None, "http://x.com/" + "a" * 50_000, "h")], "page_id long, url string, html string")
+    assert judge(pages).count() == 3
+    assert judge(pages.where("false")).collect() == []
+    assert judge(clashing(pages)).count() == 3
+    with pytest.raises(ValueError):
+        judge(pages, labelled=spark.createDataFrame([], "url string, label int"))
+
+
+def test_mixing_reaches_target_weights(spark):
+    rows = [(i, "word " * 10, "big" if i % 10 else "small") for i in range(4000)]
+    weights = spark.createDataFrame([("big", 1.0), ("small", 1.0)], "source string, weight double")
+    docs = documents(spark, rows)
+    out = mixing.replicate(docs, weights)
+    share = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(share["small"] / 2000 - 1) < 0.15 and abs(share["big"] / 2000 - 1) < 0.15
+    again = mixing.replicate(docs.repartition(7), weights)
+    key = lambda df: sorted((r.doc_id, r.copy, r.slot_key) for r in df.collect())
+    assert key(out) == key(again)
+    order = [r.slot_key for r in out.collect()]
+    assert order == sorted(order)
+    assert mixing.replicate(docs, weights, seed=6).count() != out.count() or key(mixing.replicate(docs, weights, seed=6)) != key(out)
+
+
+def test_poisson_quantiles(spark):
+    import math
+
+    for mean in (0.3, 1.0, 7.5, 31.0):
+        df = spark.range(400).select(((F.col("id") + 0.5) / 400).alias("u"))
+        got = [r.k for r in df.select(F.expr(mixing.poisson_quantile(f"{mean}D", "u")).alias("k")).collect()]
+        for i, k in enumerate(got):
+            below = sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(k))
+            assert below <= (i + 0.5) / 400 + 1e-12 < below + math.exp(-mean) * mean**k / math.factorial(k) + 1e-9
+
+
+def test_mixing_odd_rows(spark):
+    docs = odd_documents(spark)
+    out = mixing.replicate(docs)
+    assert set(out.columns) == {*docs.columns, "copy", "rate", "slot_key"}
+    assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in docs.collect()}
+    assert mixing.replicate(documents(spark, [])).collect() == []
+    assert mixing.replicate(documents(spark, [(1, None), (2, "")])).collect() == []
+    assert mixing.replicate(clashing(docs)).count() == out.count()
+    heavy = spark.createDataFrame([("a", 1.0)], "source string, weight double")
+    two = documents(spark, [(i, "x" * 100, "a" if i == 0 else "b") for i in range(200)])
+    assert abs(mixing.replicate(two, heavy).count() - 200) < 60  # a mean of 200 copies, drawn in parts
