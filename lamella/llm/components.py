@@ -1,4 +1,4 @@
-"""Connected components by rounds of contraction, all of it joins and aggregates."""
+"""Connected components by rounds of hooking, pointer doubling and contraction, all of it joins and aggregates."""
 
 from __future__ import annotations
 
@@ -8,26 +8,40 @@ from pyspark.sql import functions as F
 from lamella.llm.common import materialise
 
 
+def _distinct(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Each undirected edge once, as u < v."""
+    return edges.where(f"{a} <> {b}").groupBy(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).agg(F.lit(1).alias("x")).select("u", "v")
+
+
+def _to_roots(hooks: DataFrame) -> DataFrame:
+    """node, hook with every hook followed to its end, the distance doubling each time."""
+    while True:
+        ends = hooks.select(F.col("node").alias("hook"), F.col("hook").alias("next"))
+        step = hooks.select("node", "hook").join(ends, "hook").select("node", F.col("next").alias("hook"), (F.col("next") != F.col("hook")).alias("moved"))
+        hooks = materialise(step, "hooks")
+        if not hooks.where("moved").limit(1).count():
+            return hooks.select("node", "hook")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every end of an edge; component is the smallest node that links reach.
 
-    Each round every node hooks onto its smallest neighbour and the edges are drawn anew between
-    the hooks, until none is left. A node never moves to a larger one, so the smallest stays and
-    ends as the name. Rounds grow with the logarithm of a component's width. The smallest
+    Each round every node hooks onto its smallest neighbour, if that is smaller than itself, hooks are followed to their
+    roots by doubling, and the edges are drawn anew between the roots, until none is left. A tree of hooks has two nodes
+    at least, so a round leaves at most half of the nodes: rounds grow with the logarithm of the nodes, and each doubles as
+    often as the logarithm of its longest chain. No node moves to a larger one, so the smallest ends as the name. The smallest
     neighbour is a partial aggregate; a hub's edges meet a table of one row a node in plain joins,
-    which adaptive execution may split. Each round's tables are written to the shared folder.
+    which adaptive execution may split. Each step's table is written to the shared folder.
     Null ends and loops are ignored; repeated edges count once.
     """
-    left = materialise(
-        edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`").groupBy("u", "v").agg(F.lit(1).alias("x")).select("u", "v"), "edges"
-    )
+    left = materialise(_distinct(edges.select(F.col(a).alias("p"), F.col(b).alias("q")), "p", "q"), "edges")
     labels = None
     while left.limit(1).count():
         ends = left.select("u", "v").union(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hooks = materialise(ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("hook")), "hooks")
+        hooks = _to_roots(ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("hook")))
         one = left.join(hooks.select(F.col("node").alias("u"), F.col("hook").alias("hu")), "u").select("hu", "v")
         two = one.join(hooks.select(F.col("node").alias("v"), F.col("hook").alias("hv")), "v")
-        left = materialise(two.where("hu <> hv").groupBy(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).agg(F.lit(1).alias("x")).select("u", "v"), "edges")
+        left = materialise(_distinct(two, "hu", "hv"), "edges")
         if labels is None:
             labels = hooks.select("node", F.col("hook").alias("component"))
         else:
