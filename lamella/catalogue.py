@@ -500,6 +500,30 @@ def unsigned_and_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", F.col("big").cast("decimal(21,0)").alias("big"), F.ascii("letter").alias("code"))
 
 
+@_query("select l_orderkey as key, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') as flags, count(distinct l_returnflag)::int as n from lineitem group by l_orderkey")
+def set_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sorted set and a hash set: written distinct, read distinct."""
+    df = _orders_with_lines(spark, sf_dir).select("key", F.col("lines.flag").alias("flags"), F.col("lines.flag").alias("any_order"))
+    out = through_blobs(df, Struct("Order", [("key", I64), ("flags", std_types.sorted_set(STRING)), ("any_order", std_types.hash_set(STRING))]))
+    return out.select("key", F.concat_ws(",", "flags").alias("flags"), F.size("any_order").alias("n"))
+
+
+@_query("select * from (values ('own schema', true), ('other schema', false)) t(reader, accepted)")
+def exact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without reconciling, only files of the reader's own schema are read."""
+    path, df = scratch(spark, "blobs"), table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    own = from_spark(df.schema, "region")
+    blobs.write(df, path, own)
+
+    def accepted(reader: Struct) -> bool:
+        try:
+            return blobs.scan(spark, path, reader, exact=True).count() == df.count()
+        except LamellaError:
+            return False
+
+    return rows_of(spark, [("own schema", accepted(own)), ("other schema", accepted(Struct("region", [("r_name", Option(STRING))])))], "reader string, accepted boolean")
+
+
 # Definitions, verdicts and hostile input: fixed answers ------------------------------------------------------------------------------
 
 

@@ -99,7 +99,7 @@ def _encode(node: Node, arr: pa.Array, row: np.ndarray, out: list[list[bytes]],
     """row: the row that each value belongs to."""
     match node:
         case Newtype() if logical(node):
-            return _encode(node.inner, _physical(arr), row, out, at, path)
+            return _encode(node.inner, _physical(arr, arrow_type(node.inner)), row, out, at, path)
         case Newtype() | Convert():
             return _encode(node.inner, arr, row, out, at, path)
         case Unit() | UnitStruct():
@@ -145,10 +145,10 @@ def _encode(node: Node, arr: pa.Array, row: np.ndarray, out: list[list[bytes]],
             _encode(node.inner, arr.filter(pa.array(first)), row[first], out, at + own_columns(node), path)
 
 
-def _physical(arr: pa.Array) -> pa.Array:
+def _physical(arr: pa.Array, base: pa.DataType) -> pa.Array:
     """Dates and times as their numbers, decimals as their 16 bytes."""
     if not pa.types.is_decimal(arr.type):
-        return arr.cast(pa.int32() if pa.types.is_date(arr.type) else pa.int64())
+        return arr.cast(base)
     _whole(arr, "a decimal")
     data = arr.buffers()[1].slice(16 * arr.offset, 16 * len(arr)) if len(arr) else pa.py_buffer(b"")
     return pa.Array.from_buffers(pa.binary(), len(arr), [None, pa.py_buffer((np.arange(len(arr) + 1) * 16).astype(np.int32)), data])

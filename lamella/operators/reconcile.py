@@ -65,6 +65,23 @@ def _enum_struct(node: Enum, tag: Column, loads: dict[str, Column]) -> Column:
     return F.struct(tag.alias("tag"), *[(loads[v.name] if v.name in loads else F.lit(None).cast(spark_type(v.payload))).alias(v.name) for v in node.variants if v.payload is not None])
 
 
+def collected(node: Seq, values: Column) -> Column:
+    """Values as the sequence's kind holds them: as they come, distinct, or distinct and ascending."""
+    if not node.order:
+        return values
+    return F.sort_array(F.array_distinct(values)) if node.order == "sorted" else F.array_distinct(values)
+
+
+def by_key(entries: Column) -> Column:
+    """Map entries in ascending order of keys, so that equal maps have equal bytes."""
+    return F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+
+
+def is_identity(writer: Struct, reader: Struct) -> bool:
+    """Whether the reader takes the writer's columns as they are, so that nothing is computed."""
+    return writer == reader and not any(_reads_differently(f.node) for f in reader.fields)
+
+
 def child(col: Column, name: str) -> Column:
     return col.getField(name)
 
@@ -110,9 +127,10 @@ class _Compiler:
                     return col
             case Seq():
                 if isinstance(w, Seq):
-                    return F.transform(col, lambda x: self.value(w.inner, r.inner, x, f"{path}[]"))
+                    same = w.inner == r.inner and not _reads_differently(r.inner)
+                    return collected(r, col if same else F.transform(col, lambda x: self.value(w.inner, r.inner, x, f"{path}[]")))
                 if isinstance(w, Tuple):
-                    return F.array(*[self.value(f.node, r.inner, child(col, f"_{f.name}"), f"{path}.{f.name}") for f in w.fields])
+                    return collected(r, F.array(*[self.value(f.node, r.inner, child(col, f"_{f.name}"), f"{path}.{f.name}") for f in w.fields]))
             case Map():
                 if isinstance(w, Map):
                     pair = lambda e: F.struct(self.value(w.key, r.key, e["key"], f"{path}.key").alias("key"), self.value(w.value, r.value, e["value"], f"{path}.value").alias("value"))
@@ -289,7 +307,7 @@ def evolve(df: DataFrame, writer: Struct, reader: Struct, strict: bool = False,
     A value that can't be read raises when its column is computed. strict: every row is checked whatever is selected
     afterwards, as the checks stand in a filter that pruning keeps.
     """
-    if writer == reader and not any(_reads_differently(f.node) or f.aliases for f in reader.fields) and df.columns == [f.name for f in writer.fields]:
+    if is_identity(writer, reader) and df.columns == [f.name for f in writer.fields]:
         return df
     cols = projection(writer, reader, options)
     if strict:
@@ -298,11 +316,18 @@ def evolve(df: DataFrame, writer: Struct, reader: Struct, strict: bool = False,
 
 
 def _reads_differently(node: Node) -> bool:
-    return isinstance(node, Convert) or isinstance(node, Primitive) and node.nonzero or any(map(_reads_differently, node.children()))
+    """Whether reading the node's own data does more than take it."""
+    own = isinstance(node, Convert) or isinstance(node, Primitive) and node.nonzero or isinstance(node, Seq) and bool(node.order)
+    return own or any(map(_reads_differently, node.children()))
+
+
+def _writes_differently(node: Node) -> bool:
+    return isinstance(node, Convert | Map) or isinstance(node, Seq) and bool(node.order) or any(map(_writes_differently, node.children()))
 
 
 def written(df: DataFrame, node: Struct) -> DataFrame:
-    """df with every conversion taken back to its representation, ready to be encoded."""
+    """df with every conversion taken back to its representation, sets made distinct and maps in the order of their keys,
+    ready to be encoded."""
 
     def back(n: Node, col: Column) -> Column:
         match n:
@@ -310,12 +335,21 @@ def written(df: DataFrame, node: Struct) -> DataFrame:
                 return back(n.inner, n.write(col))
             case Newtype() | Shared():
                 return back(n.inner, col)
-            case Option() if not boxed(n):
-                return F.when(col.isNotNull(), back(n.inner, col)) if _reads_differently(n.inner) else col
+            case _ if not _writes_differently(n):
+                return col
+            case Option():
+                inside = child(col, "value") if boxed(n) else col
+                got = back(n.inner, inside)
+                return F.when(col.isNotNull(), F.struct(got.alias("value")) if boxed(n) else got)
             case Seq():
-                return F.transform(col, lambda x: back(n.inner, x)) if _reads_differently(n.inner) else col
+                return collected(n, F.transform(col, lambda x: back(n.inner, x)) if _writes_differently(n.inner) else col)
+            case Map():
+                pair = lambda e: F.struct(back(n.key, e["key"]).alias("key"), back(n.value, e["value"]).alias("value"))
+                return F.map_from_entries(by_key(F.transform(F.map_entries(col), pair)))
             case Struct() | Tuple() | TupleStruct():
-                return F.struct(*[back(f.node, child(col, field_name(n, f))).alias(field_name(n, f)) for f in n.fields]) if _reads_differently(n) else col
+                return F.struct(*[back(f.node, child(col, field_name(n, f))).alias(field_name(n, f)) for f in n.fields])
+            case Enum():
+                return _enum_struct(n, child(col, "tag"), {v.name: F.when(child(col, "tag") == v.name, back(v.payload, child(col, v.name))) for v in n.variants if v.payload is not None})
         return col
 
     return df.select(*[back(f.node, F.col(f"`{f.name}`")).alias(f.name) for f in node.fields])

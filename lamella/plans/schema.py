@@ -517,6 +517,12 @@ _LOGICAL = {
 }
 
 
+def register_logical(name: str, base: str, spark: T.DataType, arrow: pa.DataType) -> None:
+    """Gives newtypes of this name over this primitive a column type of their own. Arrow must cast between it and the primitive's
+    column type both ways; the bytes stay the primitive's. Register on the driver and on workers (import it from a module)."""
+    _LOGICAL[name, base] = (spark, arrow)
+
+
 def bare(node: Node) -> Node:
     """The node without wrappers that have no columns of their own."""
     while isinstance(node, Newtype | Convert):

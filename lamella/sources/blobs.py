@@ -219,16 +219,20 @@ def decoded(contents: DataFrame, node: Node, fields: Collection[str] | None = No
     return contents.select("content").mapInArrow(_decoder(node, fields, strict, schema), schema)
 
 
-def scan(spark: SparkSession, path: str, reader: Struct | None = None, strict: bool = False, options: Options = Options()) -> DataFrame:
+def scan(spark: SparkSession, path: str, reader: Struct | None = None, strict: bool = False, options: Options = Options(), exact: bool = False) -> DataFrame:
     """All files under a path as the reader asks for them, whatever version wrote each.
 
     Files of one version are one scan, which opens only the columns that the reader needs, and one compiled projection;
     the versions are put together by name. strict: columns left out and rows whatever is selected are checked too.
+    exact: files of any other schema than the reader's are refused instead of reconciled.
     """
     found = writer_schemas(path)
     if not found:
         raise SchemaMismatch(f"*{SUFFIX} files", "none", path)
     reader = reader or next(iter(found))
+    for node in found if exact else ():
+        if node != reader:
+            raise SchemaMismatch(reader.describe(), node.describe(), path)
     fs, _ = file_system(path)
     prefix = path.split("://")[0] + "://" if "://" in path else "file://" if isinstance(fs, pafs.LocalFileSystem) else ""
     out: DataFrame | None = None

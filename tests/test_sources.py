@@ -109,3 +109,41 @@ def test_findings_paths():
     shape = lambda t: Enum("E", [Variant("A", "struct", [("depth", t)]), Variant("B", "newtype", [Seq(Option(t))]), Variant("C", "newtype", [Newtype("N", t)])])
     assert [f[0] for f in compat.narrowings(shape(Primitive("u64")), shape(Primitive("u16")))] == ["A.depth", "B", "C"]
     assert compat.narrowings(F64, Primitive("f32")) == []
+
+
+def test_equal_maps_have_equal_bytes_and_sets_are_distinct(spark, tmp_path):
+    from lamella.functions.std_types import hash_set, sorted_set
+    from lamella.operators.reconcile import written
+    from lamella.plans.schema import Map
+
+    node = Struct("S", [("m", Map(STRING, I32)), ("s", sorted_set(I32)), ("h", hash_set(I32))])
+    one = spark.sql("select map('b', 1, 'a', 2) as m, array(3, 1, 3) as s, array(3, 1, 3) as h")
+    two = spark.sql("select map('a', 2, 'b', 1) as m, array(1, 3) as s, array(3, 1) as h")
+    assert [list(r["m"].items()) for r in written(one, node).collect()] == [[("a", 2), ("b", 1)]]
+    rows = []
+    for i, df in enumerate((one, two)):
+        blobs.write(df, str(tmp_path / str(i)), node)
+        rows.append([(tmp_path / str(i) / f).read_bytes() for f in (p.split("/")[-1] for p in blobs.files(str(tmp_path / str(i))))])
+    assert rows[0] == rows[1]
+
+
+def test_exact_scan_refuses_other_schemas(spark, tmp_path):
+    path = str(tmp_path / "x")
+    blobs.write(spark.createDataFrame([(1,)], "id long"), path, Struct("A", [("id", I64)]))
+    assert blobs.scan(spark, path, Struct("A", [("id", I64)]), exact=True).count() == 1
+    with pytest.raises(SchemaMismatch):
+        blobs.scan(spark, path, Struct("A", [("id", F64)]), exact=True)
+
+
+def test_a_logical_type_of_ones_own(spark, tmp_path):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from lamella.operators.decode import decode
+    from lamella.operators.encode import encode
+    from lamella.plans.schema import register_logical, spark_type
+
+    register_logical("time_ms", "i32", T.IntegerType(), pa.time32("ms"))
+    node = Newtype("time_ms", I32)
+    array = pa.array([datetime.time(1, 2, 3)], pa.time32("ms"))
+    assert decode(node, encode(node, array)) == array and spark_type(node) == T.IntegerType()
