@@ -176,7 +176,12 @@ def _reshaped(spark: SparkSession, sf_dir: str, name: str, key: str, value: Colu
     return df.select("key", reconcile(writer, reader, F.col("v"), "v").alias("v"))
 
 
-_LINE = F.struct(F.col("l_quantity").alias("_0"), F.col("l_extendedprice").alias("_1"), F.col("l_discount").alias("_2"))
+
+
+def _line() -> Column:
+    return F.struct(F.col("l_quantity").alias("_0"), F.col("l_extendedprice").alias("_1"), F.col("l_discount").alias("_2"))
+
+
 _TRIPLE = TupleStruct("Line", [F64, F64, F64])
 
 
@@ -189,18 +194,18 @@ def evolve_newtype_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("select l_orderkey as key, l_extendedprice as price, l_quantity as quantity from lineitem")
 def evolve_tuple_to_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader = Struct("Line", [Field("price", F64, aliases=("1",)), Field("quantity", F64, aliases=("0",))])
-    return _reshaped(spark, sf_dir, "lineitem", "l_orderkey", _LINE, _TRIPLE, reader).select("key", "v.price", "v.quantity")
+    return _reshaped(spark, sf_dir, "lineitem", "l_orderkey", _line(), _TRIPLE, reader).select("key", "v.price", "v.quantity")
 
 
 @_query("select l_orderkey as key, l_quantity as a, l_extendedprice as b, l_discount as c, 0.5::double as d from lineitem")
 def evolve_tuple_grow(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader = TupleStruct("Line", [F64, F64, F64, Field("", F64, 0.5)])
-    return _reshaped(spark, sf_dir, "lineitem", "l_orderkey", _LINE, _TRIPLE, reader).select("key", *[F.col(f"v._{i}").alias(n) for i, n in enumerate("abcd")])
+    return _reshaped(spark, sf_dir, "lineitem", "l_orderkey", _line(), _TRIPLE, reader).select("key", *[F.col(f"v._{i}").alias(n) for i, n in enumerate("abcd")])
 
 
 @_query("select l_orderkey as key, l_quantity as a, l_extendedprice as b from lineitem")
 def evolve_tuple_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reshaped(spark, sf_dir, "lineitem", "l_orderkey", _LINE, _TRIPLE, TupleStruct("Line", [F64, F64])).select("key", F.col("v._0").alias("a"), F.col("v._1").alias("b"))
+    return _reshaped(spark, sf_dir, "lineitem", "l_orderkey", _line(), _TRIPLE, TupleStruct("Line", [F64, F64])).select("key", F.col("v._0").alias("a"), F.col("v._1").alias("b"))
 
 
 @_query("select l_orderkey as key, l_quantity as a, l_extendedprice as b, l_discount as c from lineitem")
@@ -211,7 +216,7 @@ def evolve_seq_to_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("select l_orderkey as key, 3 as n, round(l_quantity + l_extendedprice + l_discount, 4) as total from lineitem")
 def evolve_array_to_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _reshaped(spark, sf_dir, "lineitem", "l_orderkey", _LINE, Tuple([F64] * 3), Seq(F64))
+    out = _reshaped(spark, sf_dir, "lineitem", "l_orderkey", _line(), Tuple([F64] * 3), Seq(F64))
     return out.select("key", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
