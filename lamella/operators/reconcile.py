@@ -311,10 +311,19 @@ def evolve(df: DataFrame, writer: Struct, reader: Struct, strict: bool = False,
         return df
     cols = projection(writer, reader, options)
     if strict:
-        df = df.where(F.xxhash64(F.struct(*cols)) % 2 < 5)
+        # always true, but not before every column is computed; maps can't be hashed
+        plain = [c for c, f in zip(cols, reader.fields, strict=True) if not _holds_map(f.node)]
+        maps = [c for c, f in zip(cols, reader.fields, strict=True) if _holds_map(f.node)]
+        checks = [F.xxhash64(F.struct(*plain)) % 2 < 5] * bool(plain) + [F.length(F.to_json(F.struct(*maps))) >= 0] * bool(maps)
+        for check in checks:
+            df = df.where(check)
     return df.select(*cols)
 
 
+def _holds_map(node: Node) -> bool:
+    return isinstance(node, Map) or any(map(_holds_map, node.children()))
+
+
 def _reads_differently(node: Node) -> bool:
     """Whether reading the node's own data does more than take it."""
     own = isinstance(node, Convert) or isinstance(node, Primitive) and node.nonzero or isinstance(node, Seq) and bool(node.order)

@@ -155,6 +155,14 @@ def test_strict_keeps_checks_under_count(spark):
             plan.count()
 
 
+def test_strict_with_maps(spark):
+    w = S(("m", Map(STRING, I32)), ("b", I32))
+    df = spark.sql("select map('a', 999) as m, 1 as b")
+    assert evolve(df, w, S(("m", Map(STRING, I64)), ("b", I32)), strict=True).count() == 1
+    with pytest.raises(Exception, match="999"):
+        evolve(df, w, S(("m", Map(STRING, I8)), ("b", I32)), strict=True).select("b").count()
+
+
 def test_identity_is_no_projection(spark):
     df = spark.createDataFrame([(1,)], "a int")
     assert evolve(df, S(("a", I32)), S(("a", I32))) is df
