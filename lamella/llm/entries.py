@@ -7,10 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import mixing, multi_index, warc
+from lamella.llm import mixing, multi_index, ngram_join, warc
 from lamella.llm.common import read_table, scratch_path
 from lamella.llm.fingerprint import fingerprints
-from lamella.llm.ngram_join import jaccard_groups
 from lamella.llm.packing import pack
 from lamella.llm.quality import quality_scores
 from lamella.llm.secret_scan import scan
@@ -54,7 +53,7 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(read_table(spark, sf_dir, "documents"), 5, 75)
+    return ngram_join.jaccard_groups(read_table(spark, sf_dir, "documents"), 5, 75)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_dictionary": warc.ORACLE, "op5_mix_sources": mixing.ORACLE, "op10_embedding_near_dedup": multi_index.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_dictionary": warc.ORACLE,
+    "op5_mix_sources": mixing.ORACLE,
+    "op8_ngram_jaccard_join": ngram_join.ORACLE,
+    "op10_embedding_near_dedup": multi_index.ORACLE,
+}

@@ -14,7 +14,8 @@ reach the threshold:
    sets share ties them all to one of them, so that no pairs are emitted.
 4. The connected groups of what is left hold every link. A third pass fetches the whole sets of
    their members, and each group's product is counted exactly: in one task up to GROUP_ROWS rows,
-   else by pairs of blocks of that size. A task emits a spanning forest of the links it finds.
+   else in blocks, each with some rows of the whole group; rows that these leave apart from a group's
+   largest part then meet all its blocks. A task emits a spanning forest of the links it finds.
 
 No partner is capped and no candidate dropped. Memory is bounded by blocks; the frequent-shingle
 bitmap and the filter of documents to fetch have a fixed size and decide only speed.
@@ -40,6 +41,8 @@ CELLS, FILTER_BITS = 1 << 22, 1 << 26
 BLOCK_POSTINGS = 250_000
 PAIRS_UP_TO = 48
 GROUP_ROWS = 4096
+#: Rows of a group beyond GROUP_ROWS that all its blocks get, about.
+PIVOTS = 16
 
 
 def need(n: np.ndarray, per_cent: int) -> np.ndarray:
@@ -178,8 +181,11 @@ def candidates(sets: DataFrame, per_cent: int) -> DataFrame:
     return summed.where(f"tie or shared + {beyond} >= {demand}").select("a", "b")
 
 
-def links_within(names: np.ndarray, sets: list[np.ndarray], per_cent: int, blocks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among sets, as pairs of names. blocks: only links from one block (0) to the other (1)."""
+def links_within(names: np.ndarray, sets: list[np.ndarray], per_cent: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among sets, as pairs of names.
+
+    side: only links between rows of side 0 and others are looked for. known: rows of equal numbers are connected already.
+    """
     count = len(sets)
     n = np.fromiter(map(len, sets), np.int64, count)
     forest, out = Forest(count), []
@@ -188,6 +194,12 @@ def links_within(names: np.ndarray, sets: list[np.ndarray], per_cent: int, block
         if 100 * shared >= per_cent * (n[0] + n[1] - shared):
             out.append((0, 1))
     elif count > 2:
+        left = count
+        if known is not None:
+            by = np.argsort(known, kind="stable")
+            for i, j in zip(by, by[1:], strict=False):
+                if known[i] == known[j]:
+                    left -= forest.join(int(i), int(j))
         flat, owner = np.concatenate(sets), np.repeat(np.arange(count), n)
         by = np.argsort(flat, kind="stable")
         flat, owner = flat[by], owner[by]
@@ -201,20 +213,19 @@ def links_within(names: np.ndarray, sets: list[np.ndarray], per_cent: int, block
         order = np.argsort(rows, kind="stable")
         rows, cols = rows[order], cols[order]
         begin = np.searchsorted(rows, np.arange(count + 1))
-        left = count
         for i in np.argsort(-weight, kind="stable"):
             if left == 1:
                 break
             mine = cols[begin[i] : begin[i + 1]]
-            if not len(mine):
+            if not len(mine) or side is not None and side[i]:
                 continue
             k = length[mine]
             take = np.repeat(cuts[mine] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
             shared = np.bincount(owner[take], minlength=count)
             hit = 100 * shared >= per_cent * (n + n[i] - shared)
             hit[i] = False
-            if blocks is not None:
-                hit &= blocks != blocks[i]
+            if side is not None:
+                hit &= side > 0
             for j in np.flatnonzero(hit):
                 if forest.join(int(i), int(j)):
                     out.append((int(i), int(j)))
@@ -223,49 +234,82 @@ def links_within(names: np.ndarray, sets: list[np.ndarray], per_cent: int, block
     return names[pairs[:, 0]], names[pairs[:, 1]]
 
 
-def exact_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """a, b: a spanning forest of the links, found from whole sets. reps: name, doc_id of one document a set; groups: node, component."""
-    spark = docs.sparkSession
-    members = materialise(groups.join(reps.select(F.col("name").alias("node"), "doc_id"), "node"), "members")
+def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """doc_id, grams: the whole sets of the texts whose doc_id is in wanted (and of a few others, as a filter of fixed size picks them)."""
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    fetch = spark.sparkContext.broadcast(bitmap_of(members, spot, FILTER_BITS))
+    fetch = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, spot, FILTER_BITS))
 
-    def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wanted() -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def picked() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.column("spot").fill_null(0).to_numpy()
                 bit = (fetch.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
                 yield batch.filter(pa.array(bit.astype(bool)))
 
-        for piece, data, offsets in text_slices(wanted()):
+        for piece, data, offsets in text_slices(picked()):
             blobs = [own.tobytes() for own in shingle_sets(data, offsets, size)]
             if blobs:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), binary_array(blobs)], ["doc_id", "grams"])
 
-    sets = docs.select("doc_id", "text", spot.alias("spot")).mapInArrow(sets_of, "doc_id long, grams binary")
-    sizes = members.groupBy("component").agg(F.count("*").alias("rows"))
-    dealt = members.join(sizes, "component").withColumn("blocks", F.expr(f"cast(({GROUP_ROWS - 1} + rows) div {GROUP_ROWS} as int)"))
-    dealt = dealt.withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-    dealt = dealt.select("node", "doc_id", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("node", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # a large repeated text is fetched once a block; equal doc_ids of different texts meet by name below
-    whole = dealt.join(sets, "doc_id")
+    return docs.select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "doc_id long, grams binary")
+
+
+def products(docs: DataFrame, dealt: DataFrame, keys: list[str], size: int, per_cent: int, across: bool) -> DataFrame:
+    """a, b: a spanning forest of the links in each task's rows. dealt: node, doc_id, the task's keys, and side and label where across is set."""
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["component", "i", "j"]):
-            found: dict[int, tuple[np.ndarray, int]] = {}
-            for name, blob, block in zip(group["node"].to_pylist(), group["grams"].to_pylist(), group["block"].to_pylist(), strict=True):
+        for group in grouped(batches, keys):
+            found: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+            sides = group["side"].to_pylist() if across else [0] * group.num_rows
+            labels = group["label"].to_pylist() if across else sides
+            for name, blob, side, label in zip(group["node"].to_pylist(), group["grams"].to_pylist(), sides, labels, strict=True):
                 own = np.frombuffer(blob, np.uint64)
-                if len(own) and set_name(own) == name:
-                    found[name] = (own, block)
-            names = np.fromiter(found, np.int64, len(found))
-            across = np.fromiter((b for _, b in found.values()), np.int64, len(found)) if group["i"][0].as_py() != group["j"][0].as_py() else None
-            a, b = links_within(names, [s for s, _ in found.values()], per_cent, across)
+                if len(own) and set_name(own) == name:  # rows of one doc_id and other texts fall out here
+                    found[name, side] = (own, label)
+            names = np.fromiter((k[0] for k in found), np.int64, len(found))
+            side = np.fromiter((k[1] for k in found), np.int64, len(found)) if across else None
+            label = np.fromiter((v[1] for v in found.values()), np.int64, len(found)) if across else None
+            if across and (side.all() or not side.any()):
+                continue
+            a, b = links_within(names, [s for s, _ in found.values()], per_cent, side, label)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    keys = ["component", "i", "j"]
-    return whole.select("node", "grams", "block", *keys).repartition(parts(spark), *keys).sortWithinPartitions(*keys).mapInArrow(multiply, "a long, b long")
+    whole = dealt.join(whole_sets(docs, dealt.select("doc_id").distinct(), size), "doc_id")
+    names = ["node", "grams", *keys, *["side", "label"] * across]
+    return whole.select(*names).repartition(parts(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(multiply, "a long, b long")
+
+
+def exact_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """a, b: a spanning forest of the links, found from whole sets. reps: name, doc_id of one document a set; groups: node, component.
+
+    A group is dealt to blocks of GROUP_ROWS rows, and the blocks of larger groups get the same few rows of the group, drawn at random,
+    besides: near-copies of one text meet there, whichever block they lie in. Only where a group is in several parts after
+    that, the rows outside its largest part, in blocks, meet all blocks; pairs within the largest need no look.
+    """
+    members = materialise(groups.join(reps.select(F.col("name").alias("node"), "doc_id"), "node"), "members")
+    sizes = members.groupBy("component").agg(F.count("*").alias("rows"))
+    placed = members.join(sizes, "component").withColumn("blocks", F.expr(f"cast(({GROUP_ROWS - 1} + rows) div {GROUP_ROWS} as int)"))
+    placed = materialise(placed.withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))), "placed")
+    large = placed.where("blocks > 1")
+    drawn = large.where(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < F.lit(float(PIVOTS * (1 << 40))) / F.col("rows"))
+    everywhere = drawn.select("node", "doc_id", "component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    dealt = placed.select("node", "doc_id", "component", "block").union(everywhere)
+    links = products(docs, dealt, ["component", "block"], size, per_cent, False)
+    if not large.limit(1).count():
+        return links
+    links = materialise(links, "links")
+    labelled = large.join(components(links).select("node", F.col("component").alias("label")), "node", "left")
+    labelled = materialise(labelled.withColumn("label", F.coalesce("label", "node")), "labelled")
+    tally = labelled.groupBy("component", "label").agg(F.count("*").alias("n"))
+    largest = tally.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("`all` > most")
+    broken = materialise(labelled.join(largest.select("component", "main", F.expr(f"cast((`all` - most + {GROUP_ROWS - 1}) div {GROUP_ROWS} as int)").alias("outer_blocks")), "component"), "broken")
+    if not broken.limit(1).count():
+        return links
+    outer = broken.where("label <> main").withColumn("outer", F.pmod(F.hash("node", F.lit(3)), F.col("outer_blocks")))
+    one = outer.select("node", "doc_id", "label", "component", "outer", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(0).alias("side"))
+    two = broken.select("node", "doc_id", "label", "component", F.explode(F.expr("sequence(0, outer_blocks - 1)")).alias("outer"), "block", F.lit(1).alias("side"))
+    return links.union(products(docs, one.union(two), ["component", "outer", "block"], size, per_cent, True))
 
 
 def jaccard_groups(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFrame:
@@ -291,3 +335,21 @@ def jaccard_groups(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFr
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = materialise(named.join(least, "component").select("name", "component_id"), "named")
     return sets.select("doc_id", "n", "name").join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+#: All pairs that share a shingle, their overlaps, and what links reach.
+ORACLE = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, (len(w) - 3)::bigint), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) end as s from w),
+i as (select doc_id, len(s) as n, unnest(s) as g from s),
+c as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k from i a join i b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from c where 100 * k >= 75 * (na + nb - k)),
+both_ways as (select a, b from l union all select b, a from l),
+reach(a, b) as (select a, b from both_ways union select r.a, p.b from reach r join both_ways p on r.b = p.a),
+least as (select a, min(b) as m from reach group by a)
+select s.doc_id, len(s.s)::bigint as n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id))::bigint as component_id
+from s left join least l on s.doc_id = l.a
+"""

@@ -59,10 +59,12 @@ def test_groups_equal_brute_force(spark, seed):
     assert result(jaccard_groups(documents(spark, rows))) == brute(rows)
 
 
-def test_many_near_copies_and_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [0, 4])
+def test_many_near_copies_and_small_blocks(spark, monkeypatch, pivots):
     """A group larger than the limits of pairs and of blocks: ties and pairs of blocks must find it all."""
     monkeypatch.setattr(ngram_join, "PAIRS_UP_TO", 4)
     monkeypatch.setattr(ngram_join, "GROUP_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
     rng = random.Random(5)
     base = words(rng, 100)
     rows = [(1000 + k, " ".join(base[:k] + words(rng, 2) + base[k + 2 :])) for k in range(0, 90)]
@@ -70,6 +72,16 @@ def test_many_near_copies_and_small_blocks(spark, monkeypatch):
     assert result(jaccard_groups(documents(spark, rows))) == brute(rows)
 
 
+def test_a_chain_across_blocks(spark, monkeypatch):
+    """Each text links with the next few only, and all are one group: it takes the meeting of outer rows with all blocks."""
+    monkeypatch.setattr(ngram_join, "PAIRS_UP_TO", 3)
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    line = words(random.Random(6), 500)
+    rows = [(k, " ".join(line[5 * k : 5 * k + 60])) for k in range(80)]
+    assert result(jaccard_groups(documents(spark, rows))) == brute(rows) and len(set(brute(rows).values())) == 1
+
+
 def test_odd_rows(spark):
     out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(odd_documents(spark)).collect()), key=str)
     by = {}
@@ -94,7 +106,11 @@ def test_links_within_blocks():
     a, b = links_within(np.arange(5), sets, 75)
     assert len(a) == 4
     a, b = links_within(np.arange(5), sets, 75, np.array([0, 0, 0, 1, 1]))
-    assert all((x < 3) != (y < 3) for x, y in zip(a, b, strict=True))
+    assert len(a) and all((x < 3) != (y < 3) for x, y in zip(a, b, strict=True))
+    # what is connected already costs no link
+    a, b = links_within(np.arange(5), sets, 75, np.array([0, 0, 0, 1, 1]), np.array([7, 7, 7, 8, 8]))
+    assert len(a) == 1
+    assert len(links_within(np.arange(5), sets, 75, np.array([0, 0, 0, 1, 1]), np.array([7] * 5))[0]) == 0
 
 
 def test_components(spark):
