@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.errors import SchemaMismatch
-from lamella.functions.std_types import BOOL, CHAR, F32, F64, I8, I16, I32, I64, NONZERO, STRING, U8, U16, U32, U64
+from lamella.functions.std_types import BOOL, CHAR, F32, F64, I8, I16, I32, I64, NONZERO, STRING, U8, U32, U64
 from lamella.operators import compat
 from lamella.operators.decode import decode
 from lamella.operators.encode import Batch
