@@ -39,7 +39,7 @@ _U = np.uint64
 CELLS, FILTER_BITS = 1 << 22, 1 << 26
 #: Postings that one block of columns holds, about.
 BLOCK_POSTINGS = 250_000
-PAIRS_UP_TO = 48
+PAIRS_UP_TO = 64
 GROUP_ROWS = 4096
 #: Rows of a group beyond GROUP_ROWS that all its blocks get, about.
 PIVOTS = 16
