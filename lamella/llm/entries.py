@@ -48,8 +48,8 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_shards(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 1024)
     if not index.limit(1).count():
         return index
-    # what the shards hold, with the place that the index gives it
-    return index.select("slot", "shard", "place", "doc_ids").join(read_slots(spark, path), "slot")
+    # what the shards hold, with the place that the index gives it; a plan can't guess the size of what is read from shards
+    return index.select("slot", "shard", "place", "doc_ids").join(read_slots(spark, path).hint("merge"), "slot")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
