@@ -15,7 +15,6 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
@@ -140,16 +139,30 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
     slim = base.select("page_id", "digest", F.octet_length("html").alias("size"))
     heads = slim.groupBy("digest", "size").agg(F.max("page_id").alias("head"))
     kinds = slim.join(heads, ["digest", "size"]).groupBy(F.col("page_id").alias("p"), F.col("digest").alias("d")).agg(F.max("head").alias("head"), F.max("size").alias("size"))
-    rows = base.join(kinds, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).drop("p", "d")
-    first = F.col("page_id").eqNullSafe(F.col("head")) | (F.col("size") < least)
-    # a payload that a revisit leaves out need not travel
-    rows = rows.select("page_id", "url", "digest", "head", F.col("size").cast("long").alias("size"), first.alias("first"), F.when(first, F.col("html")).alias("html"))
     known = spark.sparkContext.broadcast(train_dictionary(base))
 
+    def compressor() -> zstandard.ZstdCompressor:
+        return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(known.value) if known.value else None, write_checksum=True)
+
+    def compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every row as the response that it would be: only compressed bytes move from here."""
+        one = compressor()
+        for batch in batches:
+            for piece in slices(batch, "html", 8 << 20):
+                frames = []
+                for r in piece.to_pylist():
+                    raw = r["html"].encode()
+                    frames.append(one.compress(record(r["page_id"], r["url"], raw, len(raw), base32(r["digest"]), None, date)))
+                yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), piece.column("digest"), pa.array(frames, pa.binary())], ["page_id", "url", "digest", "frame"])
+
+    frames = base.mapInArrow(compress, "page_id long, url string, digest string, frame binary")
+    rows = frames.join(kinds, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).drop("p", "d")
+    first = F.col("page_id").eqNullSafe(F.col("head")) | (F.col("size") < least)
+    rows = rows.select("page_id", "url", "digest", "head", F.col("size").cast("long").alias("size"), F.when(first, F.col("frame")).alias("frame"))
+
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-        task, number = TaskContext.get().partitionId(), 0
-        one = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(known.value) if known.value else None, write_checksum=True)
+        task, number, one = TaskContext.get().partitionId(), 0, compressor()
         head = skippable(known.value) if known.value else b""
         held, size, done, last = [head], len(head), [], None
 
@@ -164,13 +177,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
             held, size, number = [head], len(head), number + 1
 
         for batch in batches:
-            for piece in slices(batch, "html", 8 << 20):
-                for r in piece.to_pylist():
+            for at in range(0, batch.num_rows, 512):
+                for r in batch.slice(at, 512).to_pylist():
                     same = (r["page_id"], r["digest"])
-                    whole = r["first"] and not (same == last and r["size"] >= least)
+                    whole = r["frame"] is not None and not (same == last and r["size"] >= least)
                     last = same
-                    raw = record(r["page_id"], r["url"], (r["html"] or "").encode() if whole else None, r["size"], base32(r["digest"]), r["head"], date)
-                    held.append(one.compress(raw))
+                    held.append(r["frame"] if whole else one.compress(record(r["page_id"], r["url"], None, r["size"], base32(r["digest"]), r["head"], date)))
                     size += len(held[-1])
                     if size >= ARCHIVE_BYTES:
                         close()
