@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import numbered, only, place
+from lamella.llm.common import materialise, numbered, only, place
 
 #: Means above it are drawn as sums of several equal parts, so that exp(-mean) never vanishes.
 MEAN_PART = 32.0
+#: Bytes of names and rates up to which the table of sources is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def poisson_quantile(mean: str, u: str) -> str:
@@ -64,7 +66,10 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, seed: int = 5)
     keep = [i for i, c in enumerate(docs.columns) if c.lower() not in ("copy", "rate", "slot_key")]
     names, own = [docs.columns[i] for i in keep], [f"c{i}" for i in keep]
     doc_id, text, source = (f"c{place(docs, x)}" for x in ("doc_id", "text", "source"))
-    rate = rates(docs, weights).select(F.col("source").alias("__mix_source"), F.col("rate"))
+    rate = materialise(rates(docs, weights).select(F.col("source").alias("__mix_source"), F.col("rate")), "rates")
+    size = rate.agg(F.sum(F.coalesce(F.octet_length("__mix_source"), F.lit(0)) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # else a join, which adaptive execution splits at a hot source
+        rate = F.broadcast(rate)
     rated = numbered(docs).select(*own).join(rate, F.col(source).eqNullSafe(F.col("__mix_source")))
     split = f"greatest(1, cast(ceil(rate / {MEAN_PART!r}D) as int))"
     name = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")))))
