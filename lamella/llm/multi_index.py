@@ -3,8 +3,9 @@
 Two codebooks, one for either half of the vectors, are fitted on a bounded sample; their product is a grid of
 cells and every vector lies in one. A vector's cells come in the order of the summed distances of
 its halves to the codewords (the multi-sequence), and it visits as many as a measured run needs for the
-target recall: some vectors, at most CALIBRATION of them, are compared with all others by
-brute force, and the visits that would have found the target share of their links are counted. What meets in a
+target recall: some distinct vectors, about CALIBRATION of them, are compared with all others by
+brute force, each counting as much as any other however many links it has, and with neighbours drawn round them
+at the threshold, so that tables of few links are measured as well. What meets in a
 cell is verified by the cosine in double precision. Full cells are cut into blocks, and
 blocks of visitors meet blocks of residents; a task returns a count and a root for each row, never pairs.
 """
@@ -17,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from lamella.llm.common import binary_array, grouped, materialise, only, parts
 from lamella.llm.components import components
 
 #: Vectors that the codebooks are fitted on, at most, about; vectors per cell aimed at; brute-force queries, at most, about.
 SAMPLE, PER_CELL, CALIBRATION = 16_384, 256, 256
+#: Neighbours drawn round each of those queries.
+DRAWN = 8
 #: Rows of either side that one task compares at a time.
 BLOCK = 2048
 
@@ -75,11 +79,17 @@ class Grid:
         one, two = self.distances(x)
         rows = np.arange(len(x))
         mine = one[rows, cell // self.k] + two[rows, cell % self.k]
-        return ((one[:, :, None] + two[:, None, :]).reshape(len(x), -1) < mine[:, None] - 1e-12).sum(1)
+        out, step = np.zeros(len(x), np.int64), max(1, (1 << 20) // self.k**2)
+        for i in range(0, len(x), step):
+            part = slice(i, i + step)
+            out[part] = (one[part, :, None] + two[part, None, :] < mine[part, None, None] - 1e-12).sum((1, 2))
+        return out
 
 
-def prepared(vectors: DataFrame) -> DataFrame:
-    """row, vec_id, x: all rows numbered, with the unit vector's bytes; x is null for vectors that link with nothing."""
+def prepared(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """row, vec_id, x: all rows numbered, with the vector's bytes; x is null for vectors that link with nothing. And the bytes' kind: single precision stays so."""
+    column_ = only(vectors, "embedding").schema[0].dataType
+    kind = "f4" if isinstance(column_, ArrayType) and isinstance(column_.elementType, FloatType) else "f8"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,66 +97,85 @@ def prepared(vectors: DataFrame) -> DataFrame:
             for v in batch.column("embedding").to_pylist():
                 ok = v is not None and len(v) > 0 and None not in v
                 a = np.array(v, np.float64) if ok else np.zeros(1)
-                out.append(unit(a[None])[0].tobytes() if ok and np.isfinite(a).all() and a.any() else None)
+                out.append(a.astype(kind).tobytes() if ok and np.isfinite(a).all() and a.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), binary_array(out)], ["vec_id", "x"])
 
     slim = only(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return materialise(slim.mapInArrow(run, "vec_id long, x binary").select(F.monotonically_increasing_id().alias("row"), "vec_id", "x"), "vectors")
+    return materialise(slim.mapInArrow(run, "vec_id long, x binary").select(F.monotonically_increasing_id().alias("row"), "vec_id", "x"), "vectors"), kind
 
 
-def fitted(live: DataFrame, count: int, dims: int) -> Grid:
+def fitted(live: DataFrame, count: int, dims: int, kind: str) -> Grid:
     """The grid for these vectors, from at most about SAMPLE of them."""
     share = min(1.0, SAMPLE / max(count, 1))
     draw = live.where(F.pmod(F.xxhash64("row", F.lit(10)), F.lit(1 << 40)) < int(share * (1 << 40))).select("row", "x").collect()
     draw.sort(key=lambda r: r["row"])
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in draw), np.float64).reshape(-1, dims)
+    x = matrix([bytes(r["x"]) for r in draw], dims, kind)
     k = int(min(max(2, round((count / PER_CELL) ** 0.5)), 512, max(1, len(x) // 8)))
     half = dims // 2
     return Grid(k_means(x[:, :half], k, 1), k_means(x[:, half:], k, 2))
 
 
-def matrix(column_: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column_.to_pylist()), np.float64).reshape(-1, dims)
+def matrix(blobs: pa.ChunkedArray | pa.Array | list[bytes], dims: int, kind: str) -> np.ndarray:
+    """The unit vectors of these bytes, in double precision."""
+    return unit(np.frombuffer(b"".join(blobs if isinstance(blobs, list) else blobs.to_pylist()), kind).reshape(-1, dims))
 
 
-def visits_needed(live: DataFrame, grid: Grid, dims: int, least: float, target: float, floor: int = 4) -> int:
-    """How many cells a vector visits so that the target share of the links of sampled vectors is met from one side or the other."""
-    ids = live.where("vec_id % 50 = 0")
-    total = ids.count()
-    if not total:
-        ids, total = live, live.count()
-    share = min(1.0, CALIBRATION / max(total, 1))
-    got = ids.where(F.pmod(F.xxhash64("row", F.lit(50)), F.lit(1 << 40)) < int(share * (1 << 40))).select("row", "x").collect()
-    if not got:
-        return min(floor, grid.k**2)
-    spark = live.sparkSession
-    queries = spark.sparkContext.broadcast((np.array([r["row"] for r in got]), np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float64).reshape(-1, dims), grid))
+def drawn_neighbours(q: np.ndarray, least: float, each: int = DRAWN) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit vector so many times, and as many others at exactly this cosine, in directions drawn evenly."""
+    many = np.repeat(q, each, 0)
+    aside = np.random.default_rng(4).normal(size=many.shape)
+    aside -= (aside * many).sum(1, keepdims=True) * many
+    size = np.linalg.norm(aside, axis=1, keepdims=True)
+    there = size[:, 0] > 1e-9  # a single dimension has nothing aside
+    cosine = min(max(least, -1.0), 1.0)
+    return many[there], cosine * many[there] + (1 - cosine**2) ** 0.5 * aside[there] / size[there]
+
+
+def visits_for(place: np.ndarray, weight: np.ndarray, target: float) -> int:
+    """The visits that meet the target share of the weight; 1 where there is none."""
+    if not len(place):
+        return 1
+    order = np.argsort(place, kind="stable")
+    met = np.cumsum(weight[order])
+    return int(place[order][np.searchsorted(met, min(target * met[-1] * (1 - 1e-12), met[-1]))]) + 1
+
+
+def visits_needed(live: DataFrame, grid: Grid, dims: int, kind: str, least: float, target: float, floor: int = 4) -> int:
+    """How many cells a vector visits so that the target share of links is met from one side or the other.
+
+    Measured twice, and the larger counts: over the links of sampled distinct vectors, a vector's links weighing 1
+    together and its copies left out, as they lie where it does; and over neighbours drawn round them at the
+    threshold, which a table without links has as well. Visits below the floor are raised to it.
+    """
+    key = F.xxhash64("x", F.lit(50))
+    distinct = live.agg(F.approx_count_distinct(key)).first()[0]
+    share = min(1.0, CALIBRATION / max(distinct, 1))
+    got = live.where(F.pmod(key, F.lit(1 << 40)) < int(share * (1 << 40))).select("x").distinct().collect()
+    got = got or live.select("x").limit(1).collect()
+    sample = matrix(sorted(bytes(r["x"]) for r in got), dims, kind)
+    queries = live.sparkSession.sparkContext.broadcast((sample, grid))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, q, g = queries.value
-        home = g.cells(q, 1)[:, 0]
-        count = np.zeros(g.k**2, np.int64)
+        q, g = queries.value
+        home, cells = g.cells(q, 1)[:, 0], g.k**2
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
-                x = matrix(piece.column("x"), dims)
-                hit = (x @ q.T >= least) & (piece.column("row").to_numpy()[:, None] != rows)
-                a, b = np.nonzero(hit)
+                x = matrix(batch.slice(at, 1024).column("x"), dims, kind)
+                cosine = x @ q.T
+                a, b = np.nonzero((cosine >= least) & (cosine < 1 - 1e-12))
+                if not len(a):
+                    continue
                 own = g.cells(x, 1)[:, 0]
-                for i in range(0, len(a), 512):
-                    m, n = a[i : i + 512], b[i : i + 512]
-                    near = np.minimum(g.place(q[n], own[m]), g.place(x[m], home[n]))
-                    count += np.bincount(near, minlength=len(count))
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["place", "links"])
-
-    found = live.select("row", "x").mapInArrow(run, "place long, links long").groupBy("place").agg(F.sum("links").alias("links")).orderBy("place").collect()  # a row a place in the grid at most
-    every, met = sum(r["links"] for r in found), 0
-    for r in found:
-        met += r["links"]
-        if met >= target * every:
-            return min(max(floor, r["place"] + 1), grid.k**2)
-    return min(floor, grid.k**2)
+                near = [np.minimum(g.place(q[b[i : i + 512]], own[a[i : i + 512]]), g.place(x[a[i : i + 512]], home[b[i : i + 512]])) for i in range(0, len(a), 512)]
+                code, links = np.unique(b * cells + np.concatenate(near), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code // cells), pa.array(code % cells), pa.array(links.astype(np.int64))], ["query", "place", "links"])
+
+    found = live.select("x").mapInArrow(run, "query long, place long, links long").groupBy("query", "place").agg(F.sum("links").alias("links")).collect()  # a row a query and place at most
+    query, place, links = (np.array([r[c] for r in found], np.int64) for c in ("query", "place", "links"))
+    seen = visits_for(place, links / np.bincount(query, links, len(sample))[query], target)
+    near, far = drawn_neighbours(sample, least)
+    made = np.minimum(grid.place(near, grid.cells(far, 1)[:, 0]), grid.place(far, grid.cells(near, 1)[:, 0]))
+    return min(max(floor, seen, visits_for(made, np.ones(len(made)), target)), grid.k**2)
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -163,7 +192,7 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def meetings(live: DataFrame, grid: Grid, dims: int, visits: int, least: float) -> DataFrame:
+def meetings(live: DataFrame, grid: Grid, dims: int, kind: str, visits: int, least: float) -> DataFrame:
     """row, links, root: for each row and block that it met a link in, how many, and the least row that the block's links tie it to."""
     spark = live.sparkSession
     known = spark.sparkContext.broadcast(grid)
@@ -172,7 +201,7 @@ def meetings(live: DataFrame, grid: Grid, dims: int, visits: int, least: float)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 piece = batch.slice(at, 1024)
-                cells = known.value.cells(matrix(piece.column("x"), dims), visits).astype(np.int32)
+                cells = known.value.cells(matrix(piece.column("x"), dims, kind), visits).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("x"), pa.array(cells[:, 0].astype(np.int64)), binary_array([c.tobytes() for c in cells]), pa.array(cells.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["row", "x", "home", "cells", "visited"])
 
     dealt = materialise(live.select("row", "x").mapInArrow(deal, "row long, x binary, home long, cells binary, visited array<long>"), "cells")
@@ -183,6 +212,7 @@ def meetings(live: DataFrame, grid: Grid, dims: int, visits: int, least: float)
     residents = dealt.withColumn("cell", F.col("home")).join(blocks, "cell").withColumn("nblock", F.pmod(F.hash("row"), F.col("nb"))).withColumn("qblock", F.explode(F.expr("sequence(0, qb - 1)")))
     visitors = dealt.withColumn("cell", F.explode("visited")).join(blocks, "cell").withColumn("qblock", F.pmod(F.hash("row", F.lit(7)), F.col("qb"))).withColumn("nblock", F.explode(F.expr("sequence(0, nb - 1)")))
     pick = ["cell", "nblock", "qblock", "row", "x", "home", "cells"]
+    visitors = visitors.withColumn("cells", F.lit(None).cast("binary"))  # only where a resident goes is asked
     both = residents.select(*pick, F.lit(True).alias("lives")).union(visitors.select(*pick, F.lit(False).alias("lives")))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +220,10 @@ def meetings(live: DataFrame, grid: Grid, dims: int, visits: int, least: float)
             lives = group["lives"].to_numpy()
             if lives.all() or not lives.any():
                 continue
-            x, row, home, cell = matrix(group["x"], dims), group["row"].to_numpy(), group["home"].to_numpy(), group["cell"][0].as_py()
-            visited = np.frombuffer(b"".join(group["cells"].to_pylist()), np.int32).reshape(len(row), -1)
+            x, row, home, cell = matrix(group["x"], dims, kind), group["row"].to_numpy(), group["home"].to_numpy(), group["cell"][0].as_py()
             m, q = np.flatnonzero(lives), np.flatnonzero(~lives)
+            visited = np.frombuffer(b"".join(group["cells"].drop_null().to_pylist()), np.int32).reshape(len(m), -1)
+            at = np.cumsum(lives) - 1  # a resident's line in visited
             links, ends = np.zeros(len(row), np.int64), []
             for i in range(0, len(q), 256):
                 part = q[i : i + 256]
@@ -204,7 +235,7 @@ def meetings(live: DataFrame, grid: Grid, dims: int, visits: int, least: float)
                 # met in the visitor's cell as well, if the resident goes there: the smaller cell counts it
                 twice = np.zeros(len(a2), bool)
                 for k in range(0, len(a2), 65_536):
-                    twice[k : k + 65_536] = (visited[a2[k : k + 65_536]] == home[b2[k : k + 65_536]][:, None]).any(1)
+                    twice[k : k + 65_536] = (visited[at[a2[k : k + 65_536]]] == home[b2[k : k + 65_536]][:, None]).any(1)
                 once = ~twice | (cell < home[b2])
                 links += np.bincount(a2[once], minlength=len(row)) + np.bincount(b2[once], minlength=len(row))
                 if len(a):
@@ -233,17 +264,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, target: float = 0.99
     whether that is the row's own. A null, empty or zero vector, one with a null or non-finite component, and one of another
     length than most links with nothing. Repeated rows are rows of their own, so they link. A null vec_id names no
     component unless its component has no other id; kept is then true for all. Other columns are not read. An
-    empty table gives none. target: the share of links that the number of visits is measured for.
+    empty table gives none. target: the share of links that the number of visits is measured for, over
+    vectors of equal weight and over neighbours drawn at the threshold.
     """
-    all_rows = prepared(vectors)
+    all_rows, kind = prepared(vectors)
     sizes = all_rows.where("x is not null").groupBy(F.octet_length("x").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
     if not sizes:  # nothing to compare
         return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = sizes[0]["n"] // 8
+    dims = sizes[0]["n"] // np.dtype(kind).itemsize
     live = all_rows.where(F.octet_length("x") == sizes[0]["n"])
-    grid = fitted(live, sizes[0]["rows"], dims)
-    visits = visits_needed(live, grid, dims, least, target)
-    met = materialise(meetings(live, grid, dims, visits, least), "met")
+    grid = fitted(live, sizes[0]["rows"], dims, kind)
+    visits = visits_needed(live, grid, dims, kind, least, target)
+    met = materialise(meetings(live, grid, dims, kind, visits, least), "met")
     counts = met.groupBy("row").agg(F.sum("links").alias("links"))
     groups = components(met.select(F.col("row").alias("a"), F.col("root").alias("b")))
     named = groups.join(all_rows.select(F.col("row").alias("node"), "vec_id"), "node")

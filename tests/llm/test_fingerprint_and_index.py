@@ -104,6 +104,37 @@ def test_index_finds_links(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in out.values())
 
 
+def far_pairs(copies: int, pairs: int = 60, n: int = 2000, dims: int = 32):
+    """Vectors drawn evenly, pairs just over cosine 0.9 among them, and copies of one vector."""
+    rng = np.random.default_rng(5)
+    x = multi_index.unit(rng.normal(size=(n, dims)))
+    near = multi_index.drawn_neighbours(x[:pairs], 0.901, 1)[1]
+    return [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, near, np.repeat(x[-1:], copies, 0)]))]
+
+
+@pytest.mark.parametrize("copies", [0, 1000])
+def test_index_visits_are_measured_whatever_the_links(spark, monkeypatch, copies):
+    monkeypatch.setattr(multi_index, "PER_CELL", 8)
+    rows = far_pairs(copies)
+    truth = brute(rows)
+    out = {r.vec_id: r for r in multi_index.near_duplicates(vectors(spark, rows)).collect()}
+    linked = [i for i in range(60)]
+    assert all(truth[i][0] == 1 for i in linked)
+    assert np.mean([out[i].n_links == 1 for i in linked]) >= 0.95
+    assert all(out[i].n_links <= truth[i][0] for i in truth)
+
+
+def test_index_visits_without_links_are_measured(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "PER_CELL", 8)
+    live, kind = multi_index.prepared(vectors(spark, far_pairs(0, 0)))
+    grid = multi_index.fitted(live, 2000, 32, kind)
+    visits = multi_index.visits_needed(live, grid, 32, kind, 0.9, 0.99)
+    x = multi_index.unit(np.random.default_rng(6).normal(size=(500, 32)))
+    near, far = multi_index.drawn_neighbours(x, 0.9, 2)
+    met = np.minimum(grid.place(near, grid.cells(far, 1)[:, 0]), grid.place(far, grid.cells(near, 1)[:, 0])) < visits
+    assert visits > 4 and met.mean() > 0.96
+
+
 def test_index_blocks_count_each_link_once(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "BLOCK", 7)
     rng = np.random.default_rng(2)
