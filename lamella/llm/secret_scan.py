@@ -21,8 +21,17 @@ TRAIN_ROWS = 20_000
 #: Characters of the text on either side that count as neighbouring words.
 BESIDE = 48
 
-# What a candidate looks like. Runs of 16 and more letters, digits, + / _ - with a digit among them.
-_CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+# What a candidate looks like. Keys of known marks, wherever in a run they start; values assigned after key words, whatever their
+# length and characters; runs of 16 and more letters, digits, + / _ - with a digit or an upper-case letter after a lower-case one anywhere,
+# up to the next marked key. Rows of four and more signs are no beginning. All loops are possessive: time is linear and no stack grows.
+_RUN, _PART = "[A-Za-z0-9+/_-]", "[A-Za-z0-9_-]"
+_MARKED = (
+    rf"(?=[AgsrxeS])(?:A[KS]IA[A-Z0-9]{{16,}}+|gh[pousr]_[A-Za-z0-9]{{16,}}+|github_pat_[A-Za-z0-9_]{{16,}}+|glpat-{_PART}{{16,}}+|(?<![A-Za-z0-9])(?:sk-|[sr]k_live_){_PART}{{16,}}+"
+    rf"|xox[abeprs]-[A-Za-z0-9-]{{10,}}+|AIza{_PART}{{32,}}+|eyJ{_PART}{{5,}}+(?:[.]{_PART}{{5,}}+){{1,4}}+|(?<![A-Za-z0-9])SG[.]{_PART}{{10,}}+[.]{_PART}{{10,}}+)"
+)
+_KEY = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|credentials?|auth|bearer)[A-Za-z0-9_]{0,8}"
+_ASSIGNED = rf"""(?<=[=:>\s"'])(?<=[=:>][ \t]{{0,4}}["']?)(?<={_KEY}["']?[ \t]{{0,4}}[=:]{{1,3}}>?[ \t]{{0,4}}["']?)(?:(?<=")[^"\r\n]++(?=")|(?<=')[^'\r\n]++(?=')|[^\s"',;&<>(){{}}\[\]=:]{_RUN}*+[^\s"',;&<>(){{}}\[\]]*+)"""
+_CANDIDATE = rf"{_ASSIGNED}|{_MARKED}|(?:(?<!{_RUN})(?![+/_-]{{4}})|(?<=[+/_-]{{4}})(?![+/_-]))(?=[A-Za-z+/_-]*+[0-9]|[A-Z+/_-]*+(?:[a-z]++[+/_-]++[A-Z+/_-]*+)*+[a-z]++[A-Z])(?:(?!{_MARKED}){_RUN}){{16,}}+={{0,2}}"
 # Words that identifiers and placeholders are made of.
 _DICTIONARY = (
     "about access account action active address admin after agent allow append array asset async base batch before begin block body branch buffer build button byte cache call change channel "
@@ -35,7 +44,7 @@ _DICTIONARY = (
 # Words beside a candidate that speak for or against a secret.
 _FOR = "token|secret|passw|pwd|api.?key|access.?key|private|credential|auth|bearer|signature|client.?id"
 _AGAINST = "commit|sha.?1|sha.?256|md5|checksum|digest|hash|uuid|guid|revision|version|build|example|sample|dummy|placeholder|test|fixture|order|invoice|phone|card|href|http|src|isbn"
-_MARKS = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abp]-|AIza|eyJ|SG\\\\."
+_MARKS = "AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abeprs]-|AIza|eyJ|SG\\\\."
 
 #: The features by name, as SQL over c.text, c.before, c.after, c.path.
 FEATURES: dict[str, str] = {
@@ -65,8 +74,9 @@ FEATURES: dict[str, str] = {
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """text, before, after, path, label: made findings of known truth, the same on every call.
 
-    Half are secrets of usual forms in assignments; half are what scans take for them: commit ids, checksums,
-    uuids, identifiers, long numbers, paths, placeholders.
+    Half are secrets of usual forms, in assignments or, where they are marked, in paths as well; half are what scans take
+    for them: commit ids, checksums, uuids, identifiers, long numbers, paths, placeholders, and words, names and calls that
+    are assigned after key words.
     """
     raw = spark.range(rows).selectExpr("id", "sha2(concat('a', id), 256) h", "sha2(concat('b', id), 256) k", "base64(unhex(sha2(concat('c', id), 512))) b", "id % 2 y", "cast(id div 2 as int) n")
     word = "element_at(array('data', 'user', 'list', 'parse', 'value', 'config', 'index', 'module', 'stream', 'record'), 1 + pmod(hash(id, {0}), 10))"
@@ -74,13 +84,21 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     name = "element_at(array('token', 'api_key', 'secret', 'password', 'access_key', 'auth_token', 'client_secret', 'Token', 'TOKEN', 'apiKey'), 1 + pmod(hash(id, 11), 10))"
     join = "element_at(array(' = \"', '=\"', ': \"', '=', ' = ', ': ', '\":\"', ' => \\''), 1 + pmod(hash(id, 12), 8))"
     b = "regexp_replace(b, '[^A-Za-z0-9+/]', '')"
-    good = f"element_at(array(substr(h, 1, 40), substr({b}, 1, 40), concat('AKIA', upper(substr(h, 1, 16))), concat('ghp_', substr(regexp_replace({b}, '[+/]', 'x'), 1, 36)), concat('sk-', substr(regexp_replace({b}, '[+/]', '9'), 1, 32)), substr(h, 1, 32), h, substr({b}, 1, 24), concat('eyJ', substr({b}, 1, 60)), upper(substr(h, 1, 40))), 1 + n % 10)"
-    bad = f"element_at(array(substr(h, 1, 40), h, substr(h, 1, 32), concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)), concat({w[0]}, initcap({w[1]}), initcap({w[2]}), initcap({w[3]}), id % 10), concat_ws('_', {w[0]}, {w[1]}, {w[2]}, {w[3]}, id % 100), lpad(cast(abs(xxhash64(id)) as string), 16 + n % 4, '4'), concat_ws('/', 'usr', {w[0]}, {w[1]}, {w[2]}, 'v2'), concat('your_', {w[0]}, '_key_here_', id % 1000), concat_ws('-', '2024', '01', {w[0]}, {w[1]}, {w[2]})), 1 + n % 10)"
-    lead = f"element_at(array('commit ', 'sha256: ', 'md5 checksum ', 'uuid=', ' ', 'def ', 'card ', 'http://host/', 'example key = \"', 'build '), 1 + n % 10)"
+    letters = f"substr(translate({b}, '0123456789+/', 'qWzXcVbNmKjH'), 1, 24)"
+    marked_letters = "concat('AKIA', upper(translate(substr(h, 1, 16), '0123456789', 'QWRTYUIOPS')))"
+    phrase = f"concat(substr({w[0]}, 1, 3), initcap({w[1]}), id % 900, substr({b}, 1, 3), element_at(array('', '!', '#', '?'), 1 + cast(id % 4 as int)))"
+    dotted = f"concat('eyJ', substr({b}, 1, 24), '.eyJ', substr({b}, 25, 24), '.', substr(k, 1, 40))"
+    mail_key = f"concat('SG.', substr({b}, 1, 22), '.', substr({b}, 23, 43))"
+    good = f"element_at(array(substr(h, 1, 40), substr({b}, 1, 40), concat('AKIA', upper(substr(h, 1, 16))), concat('ghp_', substr(regexp_replace({b}, '[+/]', 'x'), 1, 36)), concat('sk-', substr(regexp_replace({b}, '[+/]', '9'), 1, 32)), substr(h, 1, 32), h, substr({b}, 1, 24), concat('eyJ', substr({b}, 1, 60)), upper(substr(h, 1, 40)), {marked_letters}, {letters}, {phrase}, substr({b}, 1, 8 + n % 7), {dotted}, {mail_key}), 1 + n % 16)"
+    call = f"element_at(array(concat_ws('_', 'get', {w[0]}, {w[1]}), concat('get', initcap({name})), concat({w[0]}, initcap({w[1]})), concat('self.', {name}), concat('load_', {name}), concat({w[0]}, initcap({name}))), 1 + pmod(hash(id, 16), 6))"
+    bad = f"element_at(array(substr(h, 1, 40), h, substr(h, 1, 32), concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)), concat({w[0]}, initcap({w[1]}), initcap({w[2]}), initcap({w[3]}), id % 10), concat_ws('_', {w[0]}, {w[1]}, {w[2]}, {w[3]}, id % 100), lpad(cast(abs(xxhash64(id)) as string), 16 + n % 4, '4'), concat_ws('/', 'usr', {w[0]}, {w[1]}, {w[2]}, 'v2'), concat('your_', {w[0]}, '_key_here_', id % 1000), concat_ws('-', '2024', '01', {w[0]}, {w[1]}, {w[2]}), concat({w[0]}, initcap({w[1]}), initcap({w[2]}), initcap({w[3]})), {w[0]}, element_at(array('None', 'null', 'true', 'string', 'required', 'changeme', 'str', 'the', 'a', 'xxxx'), 1 + pmod(hash(id, 15), 10)), concat_ws('.', {w[0]}, {w[1]}, {w[2]}), {call}, concat({w[0]}, ' ', {w[1]}, ' ', {w[2]})), 1 + n % 16)"
+    key = f"concat({name}, {join})"
+    marked = "n % 16 in (2, 3, 10, 14, 15) and pmod(hash(id, 14), 3) = 0"
+    lead = f"element_at(array('commit ', 'sha256: ', 'md5 checksum ', 'uuid=', ' ', 'def ', 'card ', 'http://host/', 'example key = \"', 'build ', 'def ', {key}, {key}, {key}, {key}, concat({name}, ': \"')), 1 + n % 16)"
     return raw.selectExpr(
         f"if(y = 1, {good}, {bad}) as text",
-        f"concat({w[4]}, ' ', {w[5]}, ' ', if(y = 1, concat({name}, {join}), {lead})) as before",
-        f"concat(if(y = 1 and pmod(hash(id, 12), 8) in (0, 1, 2, 6), '\"', if(y = 0 and n % 10 = 8, '\"', ' ')), {w[2]}, ' ', {w[3]}) as after",
+        f"concat({w[4]}, ' ', {w[5]}, ' ', if(y = 1, if({marked}, 'at https://git.host.com/team-name/service/', {key}), {lead})) as before",
+        f"concat(if(y = 0 and n % 16 = 14, '(', if(y = 1 and not ({marked}) and pmod(hash(id, 12), 8) in (0, 1, 2, 6) or y = 0 and (n % 16 in (8, 15) or n % 16 between 11 and 13 and pmod(hash(id, 12), 8) in (0, 1, 2, 6)), '\"', ' ')), {w[2]}, ' ', {w[3]}) as after",
         "element_at(array('src/app', 'src', 'config/settings.yml', 'tests/fixture', 'docs/readme', 'lib/core', '', 'src7', 'web'), 1 + pmod(hash(id, 13), 9)) as path",
         "cast(y as int) as label",
     )
@@ -122,8 +140,9 @@ def findings(df: DataFrame, forest: Ensemble, text: str = "text", path: str | No
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, start, length, score, secret: one row a candidate in docs (doc_id, text, source), rejected ones included.
 
-    A candidate is a run of 16 or more letters, digits and + / _ - with a digit among its first 65 characters;
-    secret tells whether the forest takes it for one. start and length count code points. Null and
+    A candidate is a key of a known mark wherever in a run it starts, a value assigned after a key word whatever its length
+    and characters, or a run of 16 or more letters, digits and + / _ - with a digit or an upper-case letter after a
+    lower-case one anywhere in it, up to the next marked key and without four or more signs in front; secret tells whether the forest takes it for one. start and length count code points. Null and
     empty texts give no row; repeated rows give their own; a null source is an empty path. Other
     columns are not read.
     """
