@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lamella.llm import mixing
 from lamella.llm.common import DOCUMENT_COLUMNS, materialise, only, read_table
@@ -27,16 +28,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by shingles, the one of the smallest id; documents without words stay, and of rows of one id one."""
+    """One document of each group linked by shingles, the one of the smallest id; documents without words stay. Rows of one id and unlike texts are
+    documents of their own, rows equal in id and text are one, and a null id comes after all others."""
     docs = _documents(docs)
-    groups = materialise(jaccard_groups(docs, 5, 75), "groups")
-    out = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(out, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.limit(1).count():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*DOCUMENT_COLUMNS)
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        # ids don't tell the rows apart: numbers in the order of the ids do
+        once = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+        ordered = once.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+        docs = materialise(ordered.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    else:
+        docs = docs.withColumn("row", F.col("doc_id").cast("long"))
+    groups = materialise(jaccard_groups(docs.select(F.col("row").alias("doc_id"), "text"), 5, 75), "groups")
+    out = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("row"))
+    return docs.join(out, "row", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lamella.llm.common import materialise, read_table
-from tests.llm.helpers import SF, shingles, words
+from tests.llm.helpers import SF, documents, shingles, words
 
 
 def write_tables(tmp_path, spark, rows, labels):
@@ -57,6 +57,15 @@ def test_stages_on_planted_rows(spark, tmp_path):
     assert set(mixed) <= set(clean) and set(packed) == set(mixed)
 
 
+def test_rows_of_one_id_keep_their_unlike_texts(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(words(rng, 60)) for _ in range(5))
+    rows = [(5, b), (5, a), (1, a), (7, c), (7, d), (7, c), (7, d + " end"), (None, a), (None, e), (None, e), (8, ""), (9, None)]
+    out = corpus_pipeline.near_duplicates(spark, documents(spark, [(i, x) for i, x in rows]), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in out if (r.text or "")[:40] != d[:40]), key=str) == sorted([(1, a), (5, b), (7, c), (None, e), (8, ""), (9, None)], key=str)
+    assert [r.doc_id for r in out if (r.text or "")[:40] == d[:40]] == [7]
+
+
 def test_run_equals_its_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     rows = out.collect()
