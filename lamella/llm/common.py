@@ -105,7 +105,9 @@ def binary_array(blobs: list[bytes]) -> pa.Array:
 
 
 def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A binary array whose row i holds the bytes of values[bounds[i]:bounds[i + 1]]."""
+    """A binary array whose row i holds the bytes of values[bounds[i]:bounds[i + 1]], 2 GiB at most."""
+    if len(bounds) and int(bounds[-1]) * values.itemsize > 0x7FFFFFFF:
+        raise ValueError("more bytes than 32-bit offsets can tell apart")
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 

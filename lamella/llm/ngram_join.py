@@ -8,17 +8,19 @@ reach the threshold:
 2. A second pass keeps for each document the size of its set, a 64-bit name of the set, and the
    n - ceil(t n) + 1 first shingles. Two linked sets share one of these at least. Equal sets are one row
    from here on.
-3. Blocks of these columns are multiplied: where at most PAIRS_UP_TO sets share a shingle, their overlaps are
-   counted by pair and summed over the blocks; a pair goes when the sum and what lies beyond the
+3. Blocks of these columns, each with its whole 64-bit shingles, are multiplied: where at most PAIRS_UP_TO sets share a
+   shingle, their overlaps are counted by pair and summed over the blocks; a pair goes when the sum and what lies beyond the
    shorter of the two reaches can't make the overlap that its sizes demand. A shingle that more
-   sets share ties them all to one of them, so that no pairs are emitted.
-4. The connected groups of what is left hold every link. A third pass fetches the whole sets of
-   their members, and each group's product is counted exactly: in one task up to GROUP_ROWS rows,
+   sets share ties them all to one of them, so that no pairs are emitted. Where such shingles are many, as in tables too large for the
+   counting table to tell them, they join the frequent ones and steps 2 and 3 run again: what is tied then are sets that
+   consist of crowded shingles almost wholly, near-copies of one text as a rule.
+4. The connected groups of what is left hold every link. A third pass fetches the texts of
+   their members, and each group's product is counted exactly: in one task up to GROUP_ROWS rows and GROUP_SHINGLES shingles,
    else in blocks, each with some rows of the whole group; rows that these leave apart from a group's
    largest part then meet all its blocks. A task emits a spanning forest of the links it finds.
 
-No partner is capped and no candidate dropped. Memory is bounded by blocks; the frequent-shingle
-bitmap and the filter of documents to fetch have a fixed size and decide only speed.
+No partner is capped and no candidate dropped. Memory is bounded by blocks; the bitmaps of frequent shingles, of rows that stand
+for equal sets and of documents to fetch have a fixed size and decide only speed.
 """
 
 from __future__ import annotations
@@ -30,18 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import Forest, binary_array, bitmap_of, grouped, materialise, only, packed, parts, runs, summed_array, text_slices
+from lamella.llm.common import Forest, binary_array, bitmap_of, grouped, materialise, only, packed, parts, runs, summed_array, text_parts, text_slices
 from lamella.llm.components import components
 from lamella.llm.wordhash import gram_hashes, mix, span_hashes, word_spans
 
 _U = np.uint64
-#: Cells of the counting table, and bits of the filter of documents to fetch.
+#: Cells of the counting table, and bits of the other filters.
 CELLS, FILTER_BITS = 1 << 22, 1 << 26
-#: Postings that one block of columns holds, about.
-BLOCK_POSTINGS = 250_000
+#: Postings that one block of columns holds, about, and pairs that are counted at a time.
+BLOCK_POSTINGS, PAIRS_AT_ONCE = 1_000_000, 4_000_000
 PAIRS_UP_TO = 64
-GROUP_ROWS = 4096
-#: Rows of a group beyond GROUP_ROWS that all its blocks get, about.
+#: The share of postings in crowded columns above which the order of shingles is refined.
+CROWDED_SHARE = 0.01
+GROUP_ROWS, GROUP_SHINGLES = 1024, 4_000_000
+#: Rows of a group beyond one block that all its blocks get, about.
 PIVOTS = 16
 
 
@@ -81,17 +85,32 @@ def frequent(docs: DataFrame, size: int) -> np.ndarray:
     return np.packbits(cells > mean + 4 * mean**0.5 + 4)
 
 
-def order_keys(own: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The shingles as keys of the common order: frequent ones last."""
+def order_keys(own: np.ndarray, cells: np.ndarray, crowded: np.ndarray | None) -> np.ndarray:
+    """The shingles as keys of the common order: frequent ones last. cells, crowded: bitmaps by leading and by trailing bits of a shingle."""
     cell = (own >> _U(42)).astype(np.int64)
-    hot = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
+    hot = (cells[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
+    if crowded is not None:
+        spot = (own >> _U(1) & _U(FILTER_BITS - 1)).astype(np.int64)
+        hot |= (crowded[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1
     return np.sort((own >> _U(1)) | (hot.astype(np.uint64) << _U(63)))
 
 
-def sketch(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """doc_id, n, name, keys: the size and name of the set, and its first shingles in the common order
-    (null where this task has given them for an equal set)."""
-    bits = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
+def size_codes(n: np.ndarray) -> np.ndarray:
+    """Sizes in 16 bits: eleven leading bits, and how many follow."""
+    e = np.maximum(np.frexp(n.astype(np.float64))[1] - 11, 0)
+    return (e << 11 | n >> e).astype(np.uint16)
+
+
+def least_sizes(code: np.ndarray) -> np.ndarray:
+    """The least size of each code. The largest is less than a 1024th above it."""
+    code = code.astype(np.int64)
+    return (code & 2047) << (code >> 11)
+
+
+def sketch(docs: DataFrame, size: int, per_cent: int, cells: np.ndarray, crowded: np.ndarray | None = None) -> DataFrame:
+    """node, doc_id, tkey, n, name, keys: a number for each row, the hash of its text, the size and name of its set, and its first
+    shingles in the common order (null where this task has given them for an equal set)."""
+    bits = docs.sparkSession.sparkContext.broadcast((cells, crowded))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -103,82 +122,158 @@ def sketch(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
                 names.append(name)
                 if n and name not in seen:
                     seen.add(name)
-                    keys.append(order_keys(own, bits.value)[: n - int(need(n, per_cent)) + 1].tobytes())
+                    keys.append(order_keys(own, *bits.value)[: n - int(need(n, per_cent)) + 1].tobytes())
                 else:
                     keys.append(None)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(ns, pa.int64()), pa.array(names, pa.int64()), binary_array(keys)], ["doc_id", "n", "name", "keys"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("tkey"), pa.array(ns, pa.int64()), pa.array(names, pa.int64()), binary_array(keys)], ["doc_id", "tkey", "n", "name", "keys"])
+
+    found = docs.select("doc_id", "tkey", "text").mapInArrow(run, "doc_id long, tkey long, n long, name long, keys binary")
+    return materialise(found.select(F.monotonically_increasing_id().alias("node"), "*"), "sets")
 
-    return materialise(docs.mapInArrow(run, "doc_id long, n long, name long, keys binary"), "sets")
 
+def representatives(sets: DataFrame) -> DataFrame:
+    """name, node, doc_id, tkey, n, least: for each set one row that stands for it, and the least doc_id."""
+    one = F.min(F.struct("node", "doc_id", "tkey", "n"))
+    named = sets.where("keys is not null").groupBy("name").agg(one.alias("r"))
+    least = sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
+    return materialise(named.join(least, "name").select("name", "r.*", "least"), "reps")
 
-_PAIR = "a long, b long, na long, nb long, shared long"
 
+def overlap_counts(sets: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
+    """kind, a, b, na, nb, shared, block by block.
 
-def overlap_counts(sets: DataFrame, per_cent: int) -> DataFrame:
-    """a, b, na, nb, shared: pairs of sets that share first shingles, and in how many, block by block;
-    shared is null where the two stand for one of many sets that share a shingle."""
+    Kind 0: sets a and b (by node) of at least na and nb shingles that share so many first shingles. Kind 1: two of many sets that share a
+    crowded one. Kind 2: a crowded shingle, its sets counted in shared.
+    """
     spark = sets.sparkSession
+    spot = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    stand = spark.sparkContext.broadcast(bitmap_of(reps, spot, FILTER_BITS))
     total = sets.where("keys is not null").agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
     blocks = max(parts(spark), int(total // BLOCK_POSTINGS) + 1)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                piece = batch.slice(at, 4096)
-                blobs = [x.as_py() for x in piece.column("keys")]
-                keys = np.frombuffer(b"".join(blobs), np.uint64)
-                reps = np.fromiter((len(x) // 8 for x in blobs), np.int64, len(blobs))
-                name = np.repeat(piece.column("name").to_numpy(), reps)
-                n = np.repeat(piece.column("n").to_numpy(), reps).astype(np.int32)
-                block = ((keys >> _U(32)) % _U(blocks)).astype(np.int64)
-                by = np.argsort(block, kind="stable")
-                cuts = runs(block[by])
-                ids = block[by][cuts[:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), packed((keys & _U(0xFFFFFFFF)).astype(np.uint32)[by], cuts), packed(name[by], cuts), packed(n[by], cuts)], ["block", "keys", "names", "ns"])
+            at = batch.column("spot").to_numpy()
+            batch = batch.filter(pa.array(((stand.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
+            node = batch.column("node").to_numpy()
+            gap = np.diff(node, prepend=node[:1])
+            _, ends = text_parts(batch.column("keys"))
+            at, back = 0, np.flatnonzero(gap < 0)  # numbers ascend, but for where another file begins
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] + (32 << 20), "right")) - 1)
+                end = min([end, *back[back > at][:1].tolist()])
+                yield cells_of(batch.slice(at, end - at))
+                at = end
+
+    def cells_of(piece: pa.RecordBatch) -> pa.RecordBatch:
+        raw, ends = text_parts(piece.column("keys"))
+        keys = np.frombuffer(raw.tobytes(), np.uint64)
+        row = np.repeat(np.arange(piece.num_rows), np.diff(ends) // 8)
+        node, code = piece.column("node").to_numpy(), size_codes(piece.column("n").to_numpy())
+        block = ((keys >> _U(32) & _U(0x7FFFFFFF)) % _U(blocks)).astype(np.int64)
+        by = np.argsort(block, kind="stable")
+        block, keys, row = block[by], keys[by], row[by]
+        own = node[row]
+        gaps = np.diff(own, prepend=own[:1])
+        first = np.diff(block, prepend=-1) > 0
+        first |= gaps > 0xFFFF  # so that two bytes hold a step
+        gaps[first] = 0
+        cuts = np.append(np.flatnonzero(first), len(keys))
+        new = first | (gaps > 0)
+        count = np.concatenate([[0], np.cumsum(new)])[cuts]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[cuts[:-1]]), pa.array(own[cuts[:-1]]), packed(keys, cuts), packed(gaps.astype(np.uint8), cuts), packed((gaps >> 8).astype(np.uint8), cuts), packed(code[row[new]], count)],
+            ["block", "base", "keys", "steps", "far", "sizes"],
+        )
+
+    def decoded(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, node and least size of each posting of a block, by key and node."""
+        keys, nodes, sizes = [], [], []
+        for base, k, low, high, c in zip(*(group[x].to_pylist() for x in ("base", "keys", "steps", "far", "sizes")), strict=True):
+            gaps = np.frombuffer(low, np.uint8) + (np.frombuffer(high, np.uint8).astype(np.int64) << 8)
+            new = gaps > 0
+            new[:1] = True
+            keys.append(np.frombuffer(k, np.uint64))
+            nodes.append(base + np.cumsum(gaps))
+            sizes.append(np.frombuffer(c, np.uint16)[np.cumsum(new) - 1])
+        key, node, code = map(np.concatenate, (keys, nodes, sizes))
+        by = np.lexsort((node, key))
+        return key[by], node[by], least_sizes(code[by])
+
+    def out(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *[pa.array(np.ascontiguousarray(x, np.int64)) for x in (a, b, na, nb, shared)]], ["kind", "a", "b", "na", "nb", "shared"])
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["block"]):
-            key, name, n = (np.frombuffer(b"".join(x.as_py() for x in group[c]), kind) for c, kind in (("keys", np.uint32), ("names", np.int64), ("ns", np.int32)))
-            by = np.lexsort((name, key))
-            key, name, n = key[by], name[by], n[by].astype(np.int64)
-            first = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
-            key, name, n = key[first], name[first], n[first]
+            key, node, n = decoded(group)
             cuts = runs(key)
             length, at = np.diff(cuts), cuts[:-1]
-            left, right, ties = [], [], []
+            names, at_name = np.unique(node, return_inverse=True)
+            size = np.zeros(len(names), np.int64)
+            size[at_name] = n
+            codes, counts, held = [], [], 0
+
+            def summed() -> tuple[np.ndarray, np.ndarray]:
+                code, back = np.unique(np.concatenate(codes), return_inverse=True)
+                return code, np.bincount(back, np.concatenate(counts)).astype(np.int64)
+
             for k in range(2, PAIRS_UP_TO + 1):
                 here = at[length == k]
-                if len(here):
-                    i, j = np.triu_indices(k, 1)
-                    x, y = (here[:, None] + i).ravel(), (here[:, None] + j).ravel()
-                    fits = 100 * np.minimum(n[x], n[y]) >= per_cent * np.maximum(n[x], n[y])
-                    left.append(x[fits])
-                    right.append(y[fits])
-            for a, k in zip(at[length > PAIRS_UP_TO], length[length > PAIRS_UP_TO], strict=True):
-                ties.append(np.column_stack([np.full(k - 1, a), np.arange(a + 1, a + k)]))
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                names, at_name = np.unique(name, return_inverse=True)
-                size = np.zeros(len(names), np.int64)
-                size[at_name] = n
-                code, shared = np.unique(at_name[x] * len(names) + at_name[y], return_counts=True)
-                x, y = code // max(len(names), 1), code % max(len(names), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(names[y]), pa.array(size[x]), pa.array(size[y]), pa.array(shared.astype(np.int64))], ["a", "b", "na", "nb", "shared"])
-            if ties:
-                t = np.unique(name[np.concatenate(ties)], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(t[:, 0].copy()), pa.array(t[:, 1].copy()), *[pa.nulls(len(t), pa.int64())] * 3], ["a", "b", "na", "nb", "shared"])
-
-    dealt = sets.where("keys is not null").select("name", "n", "keys").mapInArrow(deal, "block long, keys binary, names binary, ns binary")
-    return dealt.repartition(parts(spark), "block").sortWithinPartitions("block").mapInArrow(multiply, _PAIR)
-
-
-def candidates(sets: DataFrame, per_cent: int) -> DataFrame:
+                i, j = np.triu_indices(k, 1)
+                step = max(1, PAIRS_AT_ONCE // max(len(i), 1))
+                for some in range(0, len(here), step):
+                    rows = here[some : some + step, None]
+                    x, y = at_name[(rows + i).ravel()], at_name[(rows + j).ravel()]
+                    small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                    fits = 100 * (small + small // 1024) >= per_cent * large
+                    code, shared = np.unique(x[fits] * len(names) + y[fits], return_counts=True)
+                    codes.append(code)
+                    counts.append(shared)
+                    held += len(code)
+                    if held > 2 * PAIRS_AT_ONCE:
+                        code, shared = summed()
+                        codes, counts, held = [code], [shared], 0
+            if codes:
+                code, shared = summed()
+                x, y = code // len(names), code % len(names)
+                for some in range(0, len(code), 100_000):
+                    part = slice(some, some + 100_000)
+                    yield out(0, names[x[part]], names[y[part]], size[x[part]], size[y[part]], shared[part])
+            crowded = length > PAIRS_UP_TO
+            if crowded.any():
+                ties = [np.column_stack([np.full(k - 1, node[a]), node[a + 1 : a + k]]) for a, k in zip(at[crowded], length[crowded], strict=True)]
+                t = np.unique(np.concatenate(ties), axis=0)
+                none = np.zeros(len(t), np.int64)
+                yield out(1, t[:, 0], t[:, 1], none, none, none)
+                none = np.zeros(crowded.sum(), np.int64)
+                yield out(2, key[at[crowded]].astype(np.int64), none, none, none, length[crowded])
+
+    dealt = sets.where("keys is not null").select("node", "n", "keys", spot.alias("spot")).mapInArrow(deal, "block long, base long, keys binary, steps binary, far binary, sizes binary")
+    return materialise(dealt.repartition(parts(spark), "block").sortWithinPartitions("block").mapInArrow(multiply, "kind int, a long, b long, na long, nb long, shared long"), "overlaps")
+
+
+def first_products(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets, their representatives, and the overlaps of first shingles, in an order whose first shingles are seldom crowded."""
+    cells, crowded, before = frequent(docs, size), None, float("inf")
+    while True:
+        sets = sketch(docs, size, per_cent, cells, crowded)
+        reps = representatives(sets)
+        overlaps = overlap_counts(sets, reps, per_cent)
+        hot = overlaps.where("kind = 2")
+        share = (hot.agg(F.sum("shared")).first()[0] or 0) / max(sets.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0, 1)
+        if share <= CROWDED_SHARE or share > before / 2:
+            return sets, reps, overlaps
+        found = bitmap_of(hot, F.col("a").bitwiseAND(F.lit(FILTER_BITS - 1)), FILTER_BITS)
+        crowded, before = found if crowded is None else crowded | found, share
+
+
+def candidates(overlaps: DataFrame, per_cent: int) -> DataFrame:
     """a, b: pairs whose groups hold every link."""
     t = f"cast({per_cent} as bigint)"
-    summed = overlap_counts(sets, per_cent).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.max(F.col("shared").isNull()).alias("tie"))
-    demand = f"(({t} * (na + nb) + 99 + {t}) div (100 + {t}))"  # ceil(t (na + nb) / (1 + t))
-    beyond = f"(greatest(na, nb) * {t} + 99) div 100 - 1"  # what lies behind the first shingles of the larger
-    return summed.where(f"tie or shared + {beyond} >= {demand}").select("a", "b")
+    summed = overlaps.where("kind = 0").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
+    demand = f"(({t} * (na + nb) + 99 + {t}) div (100 + {t}))"  # ceil(t (na + nb) / (1 + t)), of the least sizes
+    beyond = f"((greatest(na, nb) + greatest(na, nb) div 1024) * {t} + 99) div 100 - 1"  # what lies behind the first shingles of the larger, at most
+    return summed.where(f"shared + {beyond} >= {demand}").select("a", "b").union(overlaps.where("kind = 1").select("a", "b"))
 
 
 def links_within(names: np.ndarray, sets: list[np.ndarray], per_cent: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -234,38 +329,42 @@ def links_within(names: np.ndarray, sets: list[np.ndarray], per_cent: int, side:
     return names[pairs[:, 0]], names[pairs[:, 1]]
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """doc_id, grams: the whole sets of the texts whose doc_id is in wanted (and of a few others, as a filter of fixed size picks them)."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    fetch = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, spot, FILTER_BITS))
+#: Stands for a null doc_id in joins.
+_NO_ID = -(1 << 63)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def picked() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column("spot").fill_null(0).to_numpy()
-                bit = (fetch.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-                yield batch.filter(pa.array(bit.astype(bool)))
 
-        for piece, data, offsets in text_slices(picked()):
-            blobs = [own.tobytes() for own in shingle_sets(data, offsets, size)]
-            if blobs:
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), binary_array(blobs)], ["doc_id", "grams"])
+def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (tkey, doc_id and more) with the text of each row. A filter of fixed size picks the texts before any moves."""
+    own = [F.col("tkey"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id")]
+    spot = F.pmod(F.xxhash64("tkey", F.coalesce("doc_id", F.lit(_NO_ID))), F.lit(FILTER_BITS))
+    fetch = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, spot, FILTER_BITS))
+
+    @F.arrow_udf("boolean")
+    def picked(spot: pa.Array) -> pa.Array:
+        at = spot.to_numpy(zero_copy_only=False)
+        return pa.array(((fetch.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
 
-    return docs.select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "doc_id long, grams binary")
+    # rows that are equal in id and text may be many: each task gives one
+    texts = docs.where(picked(spot)).select(*own, "text").dropDuplicates(["tkey", "id"])
+    keys = wanted.select(*own, *[c for c in wanted.columns if c not in ("tkey", "doc_id")])
+    return keys.join(texts, ["tkey", "id"])
 
 
 def products(docs: DataFrame, dealt: DataFrame, keys: list[str], size: int, per_cent: int, across: bool) -> DataFrame:
-    """a, b: a spanning forest of the links in each task's rows. dealt: node, doc_id, the task's keys, and side and label where across is set."""
+    """a, b: a spanning forest of the links in each task's rows. dealt: node, name, doc_id, tkey, the task's keys, and side and label where across is set."""
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, keys):
             found: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
-            sides = group["side"].to_pylist() if across else [0] * group.num_rows
-            labels = group["label"].to_pylist() if across else sides
-            for name, blob, side, label in zip(group["node"].to_pylist(), group["grams"].to_pylist(), sides, labels, strict=True):
-                own = np.frombuffer(blob, np.uint64)
-                if len(own) and set_name(own) == name:  # rows of one doc_id and other texts fall out here
-                    found[name, side] = (own, label)
+            for batch in group.to_batches():
+                sides = batch.column("side").to_pylist() if across else [0] * batch.num_rows
+                labels = batch.column("label").to_pylist() if across else sides
+                at = 0
+                for piece, data, offsets in text_slices([batch]):
+                    for name, node, own in zip(piece.column("name").to_pylist(), piece.column("node").to_pylist(), shingle_sets(data, offsets, size), strict=True):
+                        if len(own) and (node, sides[at]) not in found and set_name(own) == name:
+                            found[node, sides[at]] = (own, labels[at])
+                        at += 1
             names = np.fromiter((k[0] for k in found), np.int64, len(found))
             side = np.fromiter((k[1] for k in found), np.int64, len(found)) if across else None
             label = np.fromiter((v[1] for v in found.values()), np.int64, len(found)) if across else None
@@ -275,40 +374,43 @@ def products(docs: DataFrame, dealt: DataFrame, keys: list[str], size: int, per_
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    whole = dealt.join(whole_sets(docs, dealt.select("doc_id").distinct(), size), "doc_id")
-    names = ["node", "grams", *keys, *["side", "label"] * across]
-    return whole.select(*names).repartition(parts(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(multiply, "a long, b long")
+    names = ["node", "name", "text", *keys, *["side", "label"] * across]
+    whole = whole_texts(docs, dealt).select(*names)
+    return whole.repartition(parts(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(multiply, "a long, b long")
 
 
 def exact_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """a, b: a spanning forest of the links, found from whole sets. reps: name, doc_id of one document a set; groups: node, component.
+    """a, b: a spanning forest of the links, found from whole texts. reps: one row a set; groups: node, component.
 
-    A group is dealt to blocks of GROUP_ROWS rows, and the blocks of larger groups get the same few rows of the group, drawn at random,
+    A group is dealt to blocks of GROUP_ROWS rows and GROUP_SHINGLES shingles, and the blocks of larger groups get the same few rows of the group, drawn at random,
     besides: near-copies of one text meet there, whichever block they lie in. Only where a group is in several parts after
     that, the rows outside its largest part, in blocks, meet all blocks; pairs within the largest need no look.
     """
-    members = materialise(groups.join(reps.select(F.col("name").alias("node"), "doc_id"), "node"), "members")
-    sizes = members.groupBy("component").agg(F.count("*").alias("rows"))
-    placed = members.join(sizes, "component").withColumn("blocks", F.expr(f"cast(({GROUP_ROWS - 1} + rows) div {GROUP_ROWS} as int)"))
-    placed = materialise(placed.withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))), "placed")
+    own = ["node", "name", "doc_id", "tkey"]
+    members = materialise(groups.join(reps.select(*own, "n"), "node"), "members")
+    cut = f"cast(greatest((rows + {GROUP_ROWS - 1}) div {GROUP_ROWS}, (shingles + {GROUP_SHINGLES - 1}) div {GROUP_SHINGLES}) as int)"
+    sizes = members.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).withColumn("blocks", F.expr(cut))
+    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    placed = materialise(placed, "placed")
     large = placed.where("blocks > 1")
     drawn = large.where(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < F.lit(float(PIVOTS * (1 << 40))) / F.col("rows"))
-    everywhere = drawn.select("node", "doc_id", "component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-    dealt = placed.select("node", "doc_id", "component", "block").union(everywhere)
+    everywhere = drawn.select(*own, "component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    dealt = placed.select(*own, "component", "block").union(everywhere)
     links = products(docs, dealt, ["component", "block"], size, per_cent, False)
     if not large.limit(1).count():
         return links
     links = materialise(links, "links")
     labelled = large.join(components(links).select("node", F.col("component").alias("label")), "node", "left")
     labelled = materialise(labelled.withColumn("label", F.coalesce("label", "node")), "labelled")
-    tally = labelled.groupBy("component", "label").agg(F.count("*").alias("n"))
-    largest = tally.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("`all` > most")
-    broken = materialise(labelled.join(largest.select("component", "main", F.expr(f"cast((`all` - most + {GROUP_ROWS - 1}) div {GROUP_ROWS} as int)").alias("outer_blocks")), "component"), "broken")
+    tally = labelled.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("n").alias("s"))
+    largest = tally.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("s").alias("shingles_all"), F.max_by("s", F.struct("n", "label")).alias("shingles_most")).where("`all` > most")
+    outer_cut = f"cast(greatest((`all` - most + {GROUP_ROWS - 1}) div {GROUP_ROWS}, (shingles_all - shingles_most + {GROUP_SHINGLES - 1}) div {GROUP_SHINGLES}, 1) as int)"
+    broken = materialise(labelled.join(largest.select("component", "main", F.expr(outer_cut).alias("outer_blocks")), "component"), "broken")
     if not broken.limit(1).count():
         return links
     outer = broken.where("label <> main").withColumn("outer", F.pmod(F.hash("node", F.lit(3)), F.col("outer_blocks")))
-    one = outer.select("node", "doc_id", "label", "component", "outer", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(0).alias("side"))
-    two = broken.select("node", "doc_id", "label", "component", F.explode(F.expr("sequence(0, outer_blocks - 1)")).alias("outer"), "block", F.lit(1).alias("side"))
+    one = outer.select(*own, "label", "component", "outer", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(0).alias("side"))
+    two = broken.select(*own, "label", "component", F.explode(F.expr("sequence(0, outer_blocks - 1)")).alias("outer"), "block", F.lit(1).alias("side"))
     return links.union(products(docs, one.union(two), ["component", "outer", "block"], size, per_cent, True))
 
 
@@ -320,19 +422,17 @@ def jaccard_groups(docs: DataFrame, size: int = 5, per_cent: int = 75) -> DataFr
     texts, and those of white space only, have no set and are linked with nothing. Sets link when
     100 |A and B| >= per_cent |A or B|; equal texts therefore link. component_id is the smallest
     doc_id that links reach, the row's own included. Repeated rows are rows of their own with equal
-    results; rows with one doc_id and different texts each have the result of their own text. A null doc_id is kept as a row and never names a
-    group unless all in it are null. An empty table gives none.
+    results; rows with one doc_id and different texts each have the result of their own text. A row of a null doc_id
+    links like any other and never names a group unless all in it are null. An empty table gives none.
     Sets are compared as sets of 64-bit hashes.
     """
     docs = only(docs, "doc_id", "text")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = sketch(docs, size, per_cent)
-    reps = materialise(sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id")), "reps")
-    groups = components(candidates(sets, per_cent))
-    links = exact_links(docs, reps, groups, size, per_cent)
-    linked = components(links)
-    named = reps.join(linked.select(F.col("node").alias("name"), "component"), "name", "left").select("name", "doc_id", F.coalesce("component", "name").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
+    sets, reps, overlaps = first_products(docs, size, per_cent)
+    groups = components(candidates(overlaps, per_cent))
+    linked = components(exact_links(docs, reps, groups, size, per_cent))
+    named = reps.join(linked, "node", "left").select("name", "least", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialise(named.join(least, "component").select("name", "component_id"), "named")
     return sets.select("doc_id", "n", "name").join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
