@@ -3,7 +3,8 @@
 Every source gets a mean repetition rate, its target share of all characters over its actual share. A
 document's number of copies is the Poisson quantile, at that mean, of a uniform number drawn from
 the seed and its id and text; copies are exploded and ordered by another such draw, which shuffles them
-globally. Rates come from one aggregate over all rows and meet the documents as a broadcast only
+globally: its leading digits, which are even, name the partition, so no sampling pass draws everything a second time.
+Rates come from one aggregate over all rows and meet the documents as a broadcast only
 while the table of sources is small, else in a join.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import materialise, numbered, only, place
+from lamella.llm.common import materialise, numbered, only, parts, place
 
 #: Means above it are drawn as sums of several equal parts, so that exp(-mean) never vanishes.
 MEAN_PART = 32.0
@@ -58,7 +59,7 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, seed: int = 5)
     """docs, each row as often as its draw says, with the columns copy (int, from 0), rate and slot_key, in global random order.
 
     Needs doc_id, text and source; a column named copy, rate or slot_key is replaced. Rows are told
-    apart by doc_id and text alone: repeated rows have equal draws. A source without characters
+    apart by doc_id and text alone: repeated rows have equal draws, so they are repeated alike and lie side by side. A source without characters
     (null and empty texts only) has rate 0, so its rows go, as they carry nothing to a mix; so do those of
     sources whose weight is 0. Null doc_ids and sources are values like others. Output rows are in
     ascending slot_key over the whole frame. An empty table gives none.
@@ -79,7 +80,10 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, seed: int = 5)
     counted = rated.withColumn("__mix_count", F.expr(count)).where("__mix_count > 0")
     copies = counted.withColumn("copy", F.explode(F.expr("sequence(0, __mix_count - 1)")))
     copies = copies.withColumn("slot_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:slot"), F.col("__mix_name"), F.col("copy").cast("string"))))
-    return copies.orderBy("slot_key").select(*own, "copy", "rate", "slot_key").toDF(*names, "copy", "rate", "slot_key")
+    n = parts(docs.sparkSession)
+    slice_ = F.expr(f"cast((cast(conv(substring(slot_key, 1, 8), 16, 10) as bigint) * {n}) div {1 << 32} as int)")
+    ordered = copies.select(*own, "copy", "rate", "slot_key").repartitionById(n, slice_).sortWithinPartitions("slot_key")
+    return ordered.toDF(*names, "copy", "rate", "slot_key")
 
 
 #: What replicate() does with the default weights and seed 5, for the columns of documents.
