@@ -42,8 +42,8 @@ CELLS, FILTER_BITS = 1 << 22, 1 << 26
 #: Postings that one block of columns holds, about, and pairs that are counted at a time.
 BLOCK_POSTINGS, PAIRS_AT_ONCE = 1_000_000, 4_000_000
 PAIRS_UP_TO = 64
-#: The share of postings in crowded columns above which the order of shingles is refined.
-CROWDED_SHARE = 0.01
+#: The share of sets tied by crowded shingles above which the order of shingles is refined.
+CROWDED_SHARE = 0.1
 GROUP_ROWS, GROUP_SHINGLES = 1024, 4_000_000
 #: Rows of a group beyond one block that all its blocks get, about.
 PIVOTS = 16
@@ -259,11 +259,10 @@ def first_products(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame
         sets = sketch(docs, size, per_cent, cells, crowded)
         reps = representatives(sets)
         overlaps = overlap_counts(sets, reps, per_cent)
-        hot = overlaps.where("kind = 2")
-        share = (hot.agg(F.sum("shared")).first()[0] or 0) / max(sets.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0, 1)
+        share = overlaps.where("kind = 1").agg(F.approx_count_distinct("b")).first()[0] / max(reps.count(), 1)
         if share <= CROWDED_SHARE or share > before / 2:
             return sets, reps, overlaps
-        found = bitmap_of(hot, F.col("a").bitwiseAND(F.lit(FILTER_BITS - 1)), FILTER_BITS)
+        found = bitmap_of(overlaps.where("kind = 2"), F.col("a").bitwiseAND(F.lit(FILTER_BITS - 1)), FILTER_BITS)
         crowded, before = found if crowded is None else crowded | found, share
 
 

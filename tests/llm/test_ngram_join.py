@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from lamella.llm import components as components_module
 from lamella.llm import ngram_join
 from lamella.llm.components import components
 from lamella.llm.ngram_join import jaccard_groups, links_within
@@ -171,7 +172,9 @@ def test_links_within_blocks():
     assert len(links_within(np.arange(5), sets, 75, np.array([0, 0, 0, 1, 1]), np.array([7] * 5))[0]) == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 5, 1 << 18])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components_module, "LOCAL_EDGES", local)
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (None, 4), (30, 10), (30, 11), (30, 12), (12, 13)]
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6, 10: 10, 11: 10, 12: 10, 13: 10, 30: 10}
