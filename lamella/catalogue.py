@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,11 +59,11 @@ for _name in "region nation customer supplier part orders lineitem events docume
     _query(f"select * from {_name}", f"roundtrip_{_name}")(lambda spark, sf_dir, _t=_name: through_blobs(table(spark, sf_dir, _t)))
 
 
-@_query("select vec_id, label, len(embedding)::int as n, round(list_sum(list_transform(embedding, lambda x: x::double)), 6) as total from embeddings")
+@_query("select vec_id, label, (unnest(range(len(embedding))))::int as place, unnest(embedding)::double as component from embeddings")
 def roundtrip_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component of every vector."""
     df = through_blobs(table(spark, sf_dir, "embeddings"))
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return df.select("vec_id", "label", F.size("embedding").alias("n"), F.round(total, 6).alias("total"))
+    return df.select("vec_id", "label", F.posexplode("embedding").alias("place", "component")).withColumn("component", F.col("component").cast("double"))
 
 
 @_query("select l_orderkey, l_quantity from lineitem")
@@ -274,7 +275,7 @@ def enum_encode_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payload columns hold the rows of their variant only: 8 bytes a price, a presence byte a priority, a byte a tag."""
     path = scratch(spark, "blobs")
     blobs.write(_statuses(spark, sf_dir), path, _ORDER)
-    sizes = dict(blobs.column_bytes(path))
+    sizes = blobs.column_bytes(spark, path)
     named = {f"{c.path}:{c.kind}": sizes.get(c.number, 0) for c in layout.columns(_ORDER)}
     return rows_of(spark, [("F", named["status.F:f64"]), ("O", named["status.O.priority:presence"]), ("tags", named["status:tags"])], "variant string, bytes long")
 
@@ -337,7 +338,7 @@ def shared_dictionary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the columns' sizes: a byte a key, a length byte an entry."""
     path = scratch(spark, "blobs")
     blobs.write(_orders_with_lines(spark, sf_dir), path, _SCENE)
-    sizes = dict(blobs.column_bytes(path))
+    sizes = blobs.column_bytes(spark, path)
     at = {f"{c.path}:{c.kind}": c.number for c in layout.columns(_SCENE)}
     return rows_of(spark, [(sizes[at["lines.[].flag:keys"]], sizes[at["lines.[].flag:lengths"]])], "keys long, entries long")
 
@@ -376,7 +377,7 @@ def _bytes_sql(name: str, columns: list[tuple[str, int]]) -> str:
 def _column_bytes(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     path = scratch(spark, "blobs")
     blobs.write(table(spark, sf_dir, name).select(*columns), path)
-    return rows_of(spark, blobs.column_bytes(path), "number int, bytes long")
+    return blobs.column_sizes(spark, path)
 
 
 for _name, _columns in {
@@ -389,17 +390,23 @@ for _name, _columns in {
 
 @_query()
 def size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of tables as blobs, plain and deflated, by columns."""
+    """Bytes of tables as blobs, plain and deflated file by file in tasks, and by columns."""
     import zlib
 
-    rows = []
+    def deflated(batches):
+        for batch in batches:
+            sizes = [(len(c.as_buffer()), len(zlib.compress(c.as_buffer(), 6))) for c in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sizes], pa.int64()), pa.array([b for _, b in sizes], pa.int64())], ["bytes", "deflated"])
+
+    out: DataFrame | None = None
     for name in ("nation", "customer", "labels"):
         path = scratch(spark, "blobs")
         blobs.write(table(spark, sf_dir, name), path)
-        fs, _ = blobs.file_system(path)
-        raw = b"".join(fs.open_input_stream(f, compression=None).read() for f in blobs.files(path))
-        rows.append((name, len(raw), len(zlib.compress(raw, 6)), sum(b for _, b in blobs.column_bytes(path))))
-    return rows_of(spark, rows, "name string, bytes long, deflated long, column_bytes long")
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{blobs.SUFFIX}").load(path).select("content").mapInArrow(deflated, "bytes long, deflated long")
+        total = files.agg(F.lit(name).alias("name"), F.sum("bytes").alias("bytes"), F.sum("deflated").alias("deflated"))
+        here = total.crossJoin(blobs.column_sizes(spark, path).agg(F.sum("bytes").alias("column_bytes")))  # one row each
+        out = here if out is None else out.union(here)
+    return out
 
 
 # Versions together -------------------------------------------------------------------------------------------------------------------
@@ -479,13 +486,14 @@ def ip_octets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_blobs(df, Struct("Peer", [("key", I64), ("ip", std_types.IPV4)])).select("key", std_types.ipv4_text(F.col("ip")).alias("ip"))
 
 
-@_query("select vec_id as key, round(sum(x::double), 5) as total from (select vec_id, unnest(embedding[1:16]) as x from embeddings) group by vec_id")
+@_query("select vec_id as key, round(sum(x::double), 5) as total from (select vec_id, unnest(embedding) as x from embeddings) group by vec_id")
 def math_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen components as a matrix type, through blobs."""
-    value = F.struct(*[F.get("embedding", F.lit(i)).alias(f"_{i}") for i in range(16)])
-    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), value.alias("m"))
-    out = through_blobs(df, Struct("Body", [("key", I64), ("m", std_types.MATH["Mat4"])]))
-    return out.select("key", F.round(sum((F.col(f"m._{i}").cast("double") for i in range(1, 16)), F.col("m._0").cast("double")), 5).alias("total"))
+    """All components as four matrices, through blobs."""
+    value = lambda m: F.struct(*[F.get("embedding", F.lit(16 * m + i)).alias(f"_{i}") for i in range(16)])
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), *[value(m).alias(f"m{m}") for m in range(4)])
+    out = through_blobs(df, Struct("Body", [("key", I64), *[(f"m{m}", std_types.MATH["Mat4"]) for m in range(4)]]))
+    parts = F.array(*[F.col(f"m{m}._{i}").cast("double") for m in range(4) for i in range(16)])
+    return out.select("key", F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 @_query("select p_partkey as key, least(p_size, 25) as low, greatest(p_size, 25) as high, p_size >= 25 as ok from part")
@@ -621,3 +629,6 @@ def hardening_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         return "none"
 
     return rows_of(spark, [(k, error(*v)) for k, v in inputs.items()], "input string, error string")
+
+
+from lamella import catalogue_forms as _forms  # noqa: E402, F401  registers its queries

@@ -11,7 +11,9 @@ def dictionary(values: Column) -> Column:
 
 
 def keys(values: Column) -> Column:
-    return F.transform(values, lambda x: (F.array_position(F.array_distinct(values), x) - 1).cast("int"))
+    """Each value's place in the dictionary, which is made once a row; a null value has none."""
+    placed = F.transform(F.array(dictionary(values)), lambda d: F.transform(values, lambda x: (F.array_position(d, x) - 1).cast("int")))
+    return F.get(placed, F.lit(0))
 
 
 def resolve(keys_: Column, dictionary_: Column) -> Column:

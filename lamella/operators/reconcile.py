@@ -9,7 +9,7 @@ the values that don't.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,9 +91,64 @@ def reconcile(writer: Node, reader: Node, col: Column, path: str = "", options:
     return _Compiler(options).value(writer, reader, col, path)
 
 
+@dataclass(frozen=True)
+class Narrowing:
+    """An integer that the reader keeps in a type which lacks some of the writer's values."""
+
+    path: str
+    written: str
+    now: str
+
+    def __str__(self) -> str:
+        return f"{self.path or 'the value'} narrows from {self.written} to {self.now}"
+
+
+@dataclass(frozen=True)
+class Assessment:
+    """What compiling a reader shows before any data is read."""
+
+    narrowings: tuple[Narrowing, ...] = field(default=())
+    refusal: str = ""
+
+
+def assess(writer: Node, reader: Node, options: Options = Options()) -> Assessment:
+    """The narrowings that the compiled projection checks row by row, wherever an alias or a position leads, and the refusal that ended
+    the compilation, if one did. Needs a session, as any column does."""
+    compiler, refusal = _Compiler(options), ""
+    try:
+        compiler.value(writer, reader, F.lit(None), "")
+    except SchemaMismatch as e:
+        refusal = str(e)
+    return Assessment(tuple(compiler.narrowings), refusal)
+
+
+def plan_kind(writer: Struct, reader: Struct, options: Options = Options()) -> str:
+    """Which plan a reader gets: "identity" (the writer's columns as they are), "projection" (columns chosen, renamed or built anew, no
+    row can fail), "checked" (some rows may be refused) or "refused"."""
+    if is_identity(writer, reader):
+        return "identity"
+    found = assess(writer, reader, options)
+    if found.refusal:
+        return "refused"
+    return "checked" if found.narrowings or _may_fail(writer, reader) else "projection"
+
+
+def _may_fail(writer: Node, reader: Node) -> bool:
+    """Whether enums that lose variants, sequences of a due length, values that may not be zero or conversions are among what is read."""
+    inside = (Enum, Convert, Tuple)
+    return any(isinstance(n, inside) or isinstance(n, Primitive) and n.nonzero for n in _below(reader))
+
+
+def _below(node: Node) -> Iterable[Node]:
+    yield node
+    for child_ in node.children():
+        yield from _below(child_)
+
+
 class _Compiler:
     def __init__(self, options: Options):
         self.options = options
+        self.narrowings: list[Narrowing] = []
 
     def refuse(self, writer: Node, reader: Node, path: str) -> SchemaMismatch:
         return SchemaMismatch(reader.describe(), writer.describe(), path)
@@ -163,6 +218,7 @@ class _Compiler:
             cast = col.cast(_INT_TYPES[r.kind])
             if low <= have_low and have_high <= high:
                 return self.nonzero(r, cast, path)
+            self.narrowings.append(Narrowing(path.replace("[]", ""), w.kind, r.kind))
             told = F.concat(F.lit(f"{path or 'the value'}: "), col.cast("string"), F.lit(f" does not fit {r.kind}"))
             bad = (col < F.lit(low).cast("decimal(20,0)")) | (col > F.lit(high).cast("decimal(20,0)"))
             return self.nonzero(r, F.when(bad, F.raise_error(told).cast(spark_type(r))).otherwise(cast), path)
@@ -186,7 +242,7 @@ class _Compiler:
 
     def positions(self, w: Node, r: Tuple | TupleStruct, col: Column, path: str) -> Column:
         if isinstance(w, Struct):
-            raise SchemaMismatch("a reader with named fields", "a tuple, which has nowhere to declare which of the writer's names each position holds", path)
+            raise SchemaMismatch("named fields, as they were written", "positions, which names can't be told to take", path)
         if isinstance(w, Seq) and isinstance(r, Tuple):
             n = len(r.fields)
             items = F.struct(*[self.value(w.inner, f.node, F.get(col, F.lit(i)), f"{path}[{i}]").alias(f"_{i}") for i, f in enumerate(r.fields)])
@@ -279,7 +335,7 @@ class _Compiler:
                 return self.by_name(w.fields, r.fields, lambda f: child(col, f.name), path)
             return self.declared(nodes, r.fields, get, path)
         if w.kind == "struct":
-            raise SchemaMismatch("a reader with named fields", f"{r.describe()}, which has nowhere to declare which of the writer's names each position holds", path)
+            raise SchemaMismatch("named fields, as they were written", f"{r.describe()}: positions, which names can't be told to take", path)
         if r.kind == "newtype":
             if len(nodes) != 1:
                 raise SchemaMismatch("one value", f"{len(nodes)}", path)

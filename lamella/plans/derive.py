@@ -14,6 +14,8 @@ from lamella.plans.schema import MAX_DEPTH, MISSING, Bytes, Convert, Enum, Field
 from lamella.plans.spec import reject, validate
 
 _SCHEMAS: dict[type, Node] = {}
+#: A case of an enum that is never written: it has no place in the schema, and rows that use it are refused.
+SKIPPED: Any = type("Skipped", (), {"__repr__": lambda self: "SKIPPED"})()
 
 
 def attributes(**given: Any) -> dict[str, Any]:
@@ -104,12 +106,14 @@ def of_dataclass(cls: type, container: dict[str, Any] | None = None, depth: int
 
 
 def enum(name: str, cases: Mapping[str, Any], rename_all: str | None = None, rename_all_fields: str | None = None, removed: tuple[str, ...] = (), aliases: Mapping[str, tuple[str, ...]] | None = None) -> Enum:
-    """An enum: each case None (unit), a type (newtype), a tuple of types, or a dict or dataclass (named fields)."""
+    """An enum: each case None (unit), a type (newtype), a tuple of types, a dict or dataclass (named fields), or SKIPPED."""
     out = []
     for case, kind in cases.items():
         wire = rename.variant(case, rename_all) if rename_all else case
         also = tuple((aliases or {}).get(case, ()))
         named = lambda n: rename.field(n, rename_all_fields) if rename_all_fields else n
+        if kind is SKIPPED:
+            continue
         if kind is None:
             out.append(Variant(wire, "unit", (), also))
         elif isinstance(kind, tuple):

@@ -1,31 +1,41 @@
 """Files of self-describing blobs as a Spark data source, and scans over files of several versions.
 
-One file is one frame and one task's unit of work. Spark hands the source the columns it should
+A file holds one frame or several of one schema, whose fingerprint is part of its name: a scan lists names, reads one head a schema
+on the driver and everything else in tasks. A task reads a file's heads and then the bytes of the columns that are
+wanted, nothing else. Spark hands the source the columns it should
 give only where a schema is named, so scan() names the columns that a reader needs.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Collection, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, InputPartition, WriterCommitMessage
 
-from lamella.errors import SchemaMismatch, UnexpectedEof
-from lamella.operators.decode import decode
+from lamella.errors import LamellaError, SchemaMismatch, UnexpectedEof
+from lamella.operators.decode import bounded, counts, decode, decode_columns, wanted_columns
 from lamella.operators.encode import Batch
 from lamella.operators.reconcile import Options, evolve, written
 from lamella.plans.schema import Node, Struct, from_spark, struct_type
-from lamella.sources.frame import frame, peek_schema
+from lamella.sources.frame import fingerprint, frame, peek_schema, split_frames
 
 FORMAT, SUFFIX = "lamella", ".blob"
 ROWS_PER_BLOB = 100_000
+#: A task goes on to another file once one has so many bytes.
+FILE_BYTES = 256 << 20
 #: Bytes read to see a file's schema; more where the schema is longer.
 _PEEK = 1 << 16
 
@@ -41,7 +51,74 @@ def files(path: str) -> list[str]:
     if info.type == pafs.FileType.File:
         return [root]
     found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
-    return sorted(f.path for f in found if f.type == pafs.FileType.File and f.path.endswith(SUFFIX))
+    return sorted(f.path for f in found if f.type == pafs.FileType.File and f.path.endswith(SUFFIX) and _TEMPORARY not in f.path[len(root) :])
+
+
+_TEMPORARY = "_temporary"
+_TAG = re.compile(r"-s([0-9a-f]{16})" + re.escape(SUFFIX) + "$")
+
+
+class _Window:
+    """The bytes of an open file from some place on, read as they are asked for."""
+
+    def __init__(self, file: pa.NativeFile, at: int):
+        self.file, self.at, self.size, self.data = file, at, file.size(), memoryview(b"")
+
+    def parsed(self, parse):
+        """What parse makes of the bytes from here on, of as few of them as it needs."""
+        ask = _PEEK
+        while True:
+            if len(self.data) < min(ask, self.size - self.at):
+                self.file.seek(self.at)
+                self.data = memoryview(self.file.read(ask))
+            try:
+                return parse(self.data)
+            except UnexpectedEof:
+                if self.at + len(self.data) >= self.size:
+                    raise
+                ask *= 8
+
+
+def file_frames(file: pa.NativeFile) -> Iterator[tuple[Node, int, list[int], int]]:
+    """Schema, row count, column lengths and place of the first column of each frame in a file; only heads are read."""
+    at, size = 0, file.size()
+
+    def head(data: memoryview) -> tuple[Node, int, list[int], int]:
+        node, blob = peek_schema(data)
+        rows, lengths, used = counts(node, blob)
+        return node, rows, lengths, len(data) - len(blob) + used
+
+    while at < size or not at:
+        node, rows, lengths, used = _Window(file, at).parsed(head)
+        bounded("row count", rows, lengths)
+        end = at + used + sum(lengths)
+        if end > size:
+            raise UnexpectedEof
+        yield node, rows, lengths, at + used
+        at = end
+
+
+def read_file(fs: pafs.FileSystem, name: str, fields: Collection[str] | None, strict: bool) -> Iterator[tuple[Node, pa.Array]]:
+    """The rows of each frame of a file. Without strict, only the bytes of the columns that fields need are read."""
+    nothing = np.zeros(0, np.uint8)
+    with fs.open_input_file(name) as file:
+        for node, rows, lengths, at in file_frames(file):
+            want = [True] * len(lengths) if strict else wanted_columns(node, fields)
+            cols, k = [nothing] * len(lengths), 0
+            while k < len(lengths):  # columns that lie side by side are one read
+                end = k
+                while end < len(lengths) and want[end] == want[k]:
+                    end += 1
+                size = sum(lengths[k:end])
+                if want[k]:
+                    data, used = np.frombuffer(file.read_at(size, at), np.uint8), 0
+                    if len(data) < size:
+                        raise UnexpectedEof
+                    for i in range(k, end):
+                        cols[i] = data[used : used + lengths[i]]
+                        used += lengths[i]
+                at, k = at + size, end
+            yield node, decode_columns(node, rows, cols, fields if isinstance(node, Struct) else None, strict)
 
 
 def schema_of(path: str, name: str) -> Node:
@@ -83,23 +160,28 @@ class File(InputPartition):
 
 
 class BlobReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType, strict: bool):
-        self.path, self.schema, self.strict = path, schema, strict
+    def __init__(self, path: str, schema: T.StructType, strict: bool, tag: str, names: list[str], permissive: bool):
+        self.path, self.schema, self.strict, self.tag, self.names, self.permissive = path, schema, strict, tag, names, permissive
 
     def partitions(self) -> list[InputPartition]:
-        return [File(f) for f in files(self.path)] or [File("")]
+        found = self.names or [f for f in files(self.path) if not self.tag or (m := _TAG.search(f)) and m[1] == self.tag]
+        return [File(f) for f in found] or [File("")]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if not partition.name:
             return
         fs, _ = file_system(self.path)
-        with fs.open_input_stream(partition.name, compression=None) as f:
-            node, blob = peek_schema(f.read())
-        have = {f.name: f.dataType for f in struct_type(node).fields}
-        for f in self.schema.fields:
-            if f.name not in have or have[f.name] != f.dataType and have[f.name].simpleString() != f.dataType.simpleString():
-                raise SchemaMismatch(f"{f.name} {f.dataType.simpleString()}", f"{have.get(f.name, T.NullType()).simpleString()} in {partition.name}; read files of other versions with scan()")
-        yield from batches_of(node, decode(node, blob, [f.name for f in self.schema.fields] if isinstance(node, Struct) else None, self.strict), self.schema)
+        fields = [f.name for f in self.schema.fields]
+        try:
+            for node, array in read_file(fs, partition.name, fields, self.strict):
+                have = {f.name: f.dataType for f in struct_type(node).fields}
+                for f in self.schema.fields:
+                    if f.name not in have or have[f.name] != f.dataType and have[f.name].simpleString() != f.dataType.simpleString():
+                        raise SchemaMismatch(f"{f.name} {f.dataType.simpleString()}", f"{have.get(f.name, T.NullType()).simpleString()} in {partition.name}; read files of other versions with scan()")
+                yield from batches_of(node, array, self.schema)
+        except (LamellaError, pa.ArrowInvalid):
+            if not self.permissive:
+                raise
 
 
 @dataclass
@@ -107,60 +189,108 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class BlobWriter(DataSourceArrowWriter):
+class _Writer:
     """Tasks write under names of their own; the driver gives the files their names when all are there."""
 
-    def __init__(self, path: str, node: Node, overwrite: bool, rows: int):
-        self.path, self.node, self.overwrite, self.rows, self.run = path, node, overwrite, rows, uuid.uuid4().hex
+    def __init__(self, path: str, node: Node, overwrite: bool, rows: int, run: str = ""):
+        self.path, self.node, self.overwrite, self.rows = path, node, overwrite, rows
+        self.run, self.tag = run or uuid.uuid4().hex, fingerprint(node)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         fs, root = file_system(self.path)
-        fs.create_dir(f"{root}/_temporary", recursive=True)
-        batch, out, task = Batch(self.node), [], TaskContext.get()
+        batch, out, task, mine = Batch(self.node), [], TaskContext.get(), f"{root}/{_TEMPORARY}/{self.run}"
+        fs.create_dir(mine, recursive=True)
+        file: pa.NativeFile | None = None
 
         def flush() -> None:
-            part = f"{root}/_temporary/{uuid.uuid4().hex}"
-            with fs.open_output_stream(part, compression=None) as f:
-                f.write(frame(self.node, batch.finish()))
-            out.append((part, f"part-{task.partitionId():05d}-{len(out):04d}-{self.run}{SUFFIX}"))
-
-        for b in iterator:
-            for at in range(0, b.num_rows, self.rows):
-                rows = b.slice(at, self.rows)
-                batch.push(pa.array(rows.to_struct_array()) if isinstance(self.node, Struct) else rows.column(0))
-                if batch.rows >= self.rows:
-                    flush()
-        if batch.rows:
-            flush()
+            nonlocal file
+            if file is None:
+                part = f"{mine}/{uuid.uuid4().hex}"
+                file = fs.open_output_stream(part, compression=None)
+                out.append((part, f"part-{self.run}-{task.partitionId():05d}-{len(out):04d}-s{self.tag}{SUFFIX}"))
+            file.write(frame(self.node, batch.finish()))
+            if file.tell() >= FILE_BYTES:
+                file.close()
+                file = None
+
+        try:
+            for b in iterator:
+                for at in range(0, b.num_rows, self.rows):
+                    rows = b.slice(at, self.rows)
+                    batch.push(pa.array(rows.to_struct_array()) if isinstance(self.node, Struct) else rows.column(0))
+                    if batch.rows >= self.rows:
+                        flush()
+            if batch.rows:
+                flush()
+        finally:
+            if file is not None:
+                file.close()
         return Written(out)
 
-    def commit(self, messages: list) -> None:
+    def publish(self, messages: list, replaced: list[str]) -> None:
+        """Gives the files their names, and takes away those that they replace once all are there."""
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
-        if self.overwrite:
-            for old in files(self.path):
-                fs.delete_file(old)
+        new = set()
         for m in messages:
             for part, name in m.files if m else ():
                 fs.move(part, f"{root}/{name}")
-        if not any(m and m.files for m in messages) and not files(self.path):  # an empty table has a schema too
-            with fs.open_output_stream(f"{root}/part-00000-0000-{self.run}{SUFFIX}", compression=None) as f:
+                new.add(f"{root}/{name}")
+        if not new and not set(files(self.path)) - set(replaced):  # an empty table has a schema too
+            name = f"{root}/part-{self.run}-00000-0000-s{self.tag}{SUFFIX}"
+            with fs.open_output_stream(name, compression=None) as f:
                 f.write(frame(self.node, Batch(self.node).finish()))
-        self._clear()
+            new.add(name)
+        for old in replaced:
+            if old not in new:
+                fs.delete_file(old)
+        self.clear()
+
+    def clear(self) -> None:
+        """Removes what this run left; parts of other runs on the same path stay."""
+        fs, root = file_system(self.path)
+        if fs.get_file_info(f"{root}/{_TEMPORARY}/{self.run}").type != pafs.FileType.NotFound:
+            fs.delete_dir(f"{root}/{_TEMPORARY}/{self.run}")
+
+
+class BlobWriter(_Writer, DataSourceArrowWriter):
+    def commit(self, messages: list) -> None:
+        run = f"part-{self.run}-"  # a run of a given name replaces what it wrote before
+        self.publish(messages, [f for f in files(self.path) if self.overwrite or f.rsplit("/", 1)[-1].startswith(run)])
 
     def abort(self, messages: list) -> None:
-        self._clear()
+        self.clear()
+
+
+class BlobStreamWriter(_Writer, DataSourceStreamArrowWriter):
+    """Files are named for the stream and the micro-batch: a batch that runs again replaces its own files, so rows are there once."""
+
+    def __init__(self, path: str, node: Node, rows: int, stream: str):
+        super().__init__(path, node, False, rows)
+        self.stream = hashlib.sha256(stream.encode()).hexdigest()[:12]
+
+    def commit(self, messages: list, batchId: int) -> None:
+        run = batch_run(self.stream, batchId)
+        named = [Written([(part, name.replace(self.run, run, 1)) for part, name in m.files]) for m in messages if m]
+        done = [f for f in files(self.path) if f.rsplit("/", 1)[-1].startswith(f"part-{run}-")]
+        if named and any(m.files for m in named) or done:
+            self.publish(named, done)
+        self.clear()
+
+    def abort(self, messages: list, batchId: int) -> None:
+        self.clear()
 
-    def _clear(self) -> None:
-        fs, root = file_system(self.path)
-        if fs.get_file_info(f"{root}/_temporary").type != pafs.FileType.NotFound:
-            fs.delete_dir(f"{root}/_temporary")
+
+def batch_run(stream: str, batch: int) -> str:
+    return f"{stream}.{batch:010d}"
 
 
 class BlobSource(DataSource):
-    """Options: path; strict (columns left out are checked too, true unless "false"); schema (the writer's, as JSON); rowsPerBlob."""
+    """Options: path; strict (columns left out are checked too, true unless "false"); mode ("permissive": files end at their first frame that can't be read,
+    "failfast": such files fail the job, which is the default); schema (the writer's, as JSON); rowsPerBlob; run (a name: what was
+    written under it before is replaced); fingerprint and files (what scan() reads)."""
 
     @classmethod
     def name(cls) -> str:
@@ -173,29 +303,42 @@ class BlobSource(DataSource):
         return struct_type(schema_of(self.options["path"], found[0]))
 
     def reader(self, schema: T.StructType) -> BlobReader:
-        return BlobReader(self.options["path"], schema, self.options.get("strict", "true").lower() != "false")
+        o = self.options
+        return BlobReader(o["path"], schema, o.get("strict", "true").lower() != "false", o.get("fingerprint", ""), json.loads(o.get("files", "[]")), o.get("mode", "").lower() == "permissive")
 
-    def writer(self, schema: T.StructType, overwrite: bool) -> BlobWriter:
+    def _node(self, schema: T.StructType) -> Node:
         text = self.options.get("schema")
-        return BlobWriter(self.options["path"], Node.from_json(text) if text else from_spark(schema), overwrite, int(self.options.get("rowsPerBlob", ROWS_PER_BLOB)))
+        return Node.from_json(text) if text else from_spark(schema)
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> BlobWriter:
+        return BlobWriter(self.options["path"], self._node(schema), overwrite, int(self.options.get("rowsPerBlob", ROWS_PER_BLOB)), self.options.get("run", ""))
+
+    def streamWriter(self, schema: T.StructType, overwrite: bool) -> BlobStreamWriter:
+        return BlobStreamWriter(self.options["path"], self._node(schema), int(self.options.get("rowsPerBlob", ROWS_PER_BLOB)), self.options.get("checkpointLocation", self.options["path"]))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BlobSource)
 
 
-def write(df: DataFrame, path: str, node: Struct | None = None, mode: str = "append", rows_per_blob: int = ROWS_PER_BLOB) -> None:
-    """df as blob files of this schema (or the one that its types give)."""
+def write(df: DataFrame, path: str, node: Struct | None = None, mode: str = "append", rows_per_blob: int = ROWS_PER_BLOB, run: str = "") -> None:
+    """df as blob files of this schema (or the one that its types give). run: a name under which a second write replaces the first."""
     register(df.sparkSession)
     node = node or from_spark(df.schema)
-    written(df, node).write.format(FORMAT).option("schema", node.to_json()).option("rowsPerBlob", rows_per_blob).mode(mode).save(path)
+    written(df, node).write.format(FORMAT).option("schema", node.to_json()).option("rowsPerBlob", rows_per_blob).option("run", run).mode(mode).save(path)
 
 
 def writer_schemas(path: str) -> dict[Node, list[str]]:
-    """The files under a path by the schema they were written with; only heads are read."""
-    out: dict[Node, list[str]] = defaultdict(list)
+    """The files under a path by the schema they were written with. One head a fingerprint is read, and those of files whose names have none."""
+    tagged, plain = defaultdict(list), []
     for f in files(path):
-        out[schema_of(path, f)].append(f)
+        tagged[m[1]].append(f) if (m := _TAG.search(f)) else plain.append(f)
+    out: dict[Node, list[str]] = defaultdict(list)
+    for names in tagged.values():
+        out[schema_of(path, names[0])] += names
+    with ThreadPoolExecutor(32) as pool:
+        for f, node in zip(plain, pool.map(lambda f: schema_of(path, f), plain), strict=True):
+            out[node].append(f)
     return dict(out)
 
 
@@ -203,10 +346,10 @@ def _decoder(node: Node, fields: Collection[str] | None, strict: bool, schema: T
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                own, blob = peek_schema(content.as_buffer())
-                if own != node:
-                    raise SchemaMismatch(node.describe(), own.describe())
-                yield from batches_of(node, decode(node, blob, fields, strict), schema)
+                for own, blob in split_frames(content.as_buffer()):
+                    if own != node:
+                        raise SchemaMismatch(node.describe(), own.describe())
+                    yield from batches_of(node, decode(node, blob, fields, strict), schema)
 
     return run
 
@@ -219,13 +362,15 @@ def decoded(contents: DataFrame, node: Node, fields: Collection[str] | None = No
     return contents.select("content").mapInArrow(_decoder(node, fields, strict, schema), schema)
 
 
-def scan(spark: SparkSession, path: str, reader: Struct | None = None, strict: bool = False, options: Options = Options(), exact: bool = False) -> DataFrame:
+def scan(spark: SparkSession, path: str, reader: Struct | None = None, strict: bool = False, options: Options = Options(), exact: bool = False, permissive: bool = False) -> DataFrame:
     """All files under a path as the reader asks for them, whatever version wrote each.
 
-    Files of one version are one scan, which opens only the columns that the reader needs, and one compiled projection;
+    Files of one version are one scan, which reads only the columns that the reader needs, and one compiled projection;
     the versions are put together by name. strict: columns left out and rows whatever is selected are checked too.
-    exact: files of any other schema than the reader's are refused instead of reconciled.
+    exact: files of any other schema than the reader's are refused instead of reconciled. permissive: a file that can't be read ends where
+    it can't, without an error; claimed_rows() tells how many rows there should be.
     """
+    register(spark)
     found = writer_schemas(path)
     if not found:
         raise SchemaMismatch(f"*{SUFFIX} files", "none", path)
@@ -233,29 +378,46 @@ def scan(spark: SparkSession, path: str, reader: Struct | None = None, strict: b
     for node in found if exact else ():
         if node != reader:
             raise SchemaMismatch(reader.describe(), node.describe(), path)
-    fs, _ = file_system(path)
-    prefix = path.split("://")[0] + "://" if "://" in path else "file://" if isinstance(fs, pafs.LocalFileSystem) else ""
     out: DataFrame | None = None
     for node, names in found.items():
         known = {n for f in reader.fields for n in f.names}
         fields = [f.name for f in node.fields if f.name in known]
-        part = decoded(spark.read.format("binaryFile").load([prefix + n for n in names]), node, fields, strict)
-        here = evolve(part, Struct(node.name, [f for f in node.fields if f.name in fields]), reader, strict, options)
+        schema = T.StructType([f for f in struct_type(node).fields if f.name in fields])
+        load = spark.read.format(FORMAT).schema(schema).option("strict", str(strict).lower()).option("mode", "permissive" if permissive else "failfast")
+        tags = {m[1] if (m := _TAG.search(f)) else "" for f in names}
+        load = load.option("fingerprint", tags.pop()) if len(tags) == 1 and "" not in tags else load.option("files", json.dumps(names))
+        here = evolve(load.load(path), Struct(node.name, [f for f in node.fields if f.name in fields]), reader, strict, options)
         out = here if out is None else out.unionByName(here)
     return out
 
 
-def column_bytes(path: str) -> list[tuple[int, int]]:
-    """(column, bytes) over all files, from their heads' lengths alone."""
-    from lamella.operators.decode import header
+def _heads(spark: SparkSession, path: str, schema: str, row) -> DataFrame:
+    """row(file name, frame number, schema, row count, column lengths) for every frame under a path, read in tasks."""
 
-    total: dict[int, int] = defaultdict(int)
-    fs, _ = file_system(path)
-    for f in files(path):
-        with fs.open_input_stream(f, compression=None) as s:
-            node, blob = peek_schema(s.read())
-        for i, c in enumerate(header(node, blob)[1]):
-            total[i] += len(c)
-    return sorted(total.items())
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(path)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with fs.open_input_file(name) as file:
+                    for k, (node, rows, lengths, _) in enumerate(file_frames(file)):
+                        yield row(name, k, node, rows, lengths)
+
+    names = files(path)
+    listed = spark.createDataFrame([(n,) for n in names], "name string")
+    return listed.repartition(max(1, min(len(names), int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(run, schema)
+
+
+def claimed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """name, frame, rows: how many rows each frame says it has."""
+    return _heads(spark, path, "name string, frame int, rows long", lambda name, k, node, rows, lengths: pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), pa.array([rows])], ["name", "frame", "rows"]))
+
+
+def column_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """number, bytes: the size of each physical column over all files, from their heads' lengths alone."""
+    each = _heads(spark, path, "number int, bytes long", lambda name, k, node, rows, lengths: pa.RecordBatch.from_arrays([pa.array(range(len(lengths)), pa.int32()), pa.array(lengths, pa.int64())], ["number", "bytes"]))
+    return each.groupBy("number").agg(F.sum("bytes").alias("bytes"))
 
 
+def column_bytes(spark: SparkSession, path: str) -> dict[int, int]:
+    """column_sizes by number; a row a column of the schema comes to the driver."""
+    return {r["number"]: r["bytes"] for r in column_sizes(spark, path).collect()}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pyarrow as pa
 
 from lamella.errors import Malformed, UnexpectedEof, UnsupportedVersion
 from lamella.functions import varint
-from lamella.operators.decode import decode
+from lamella.operators.decode import counts, decode
 from lamella.operators.encode import encode
 from lamella.plans.schema import Node
 
@@ -40,6 +43,25 @@ def peek_schema(data: bytes | memoryview) -> tuple[Node, memoryview]:
     return Node.from_bytes(bytes(view[at : at + n])), view[at + n :]
 
 
+def fingerprint(node: Node) -> str:
+    """Sixteen hexadecimal digits that tell a schema from others, as its bytes do."""
+    return hashlib.sha256(node.to_bytes()).hexdigest()[:16]
+
+
+def split_frames(data: bytes | memoryview) -> Iterator[tuple[Node, memoryview]]:
+    """The frames that follow one another in these bytes, one at least. A last frame alone is not measured, so that its decoder tells what is wrong with it."""
+    view = memoryview(data).cast("B")
+    while True:
+        node, blob = peek_schema(view)
+        _, lengths, at = counts(node, blob)
+        end = at + sum(lengths)
+        if len(blob) <= end or not is_self_describing(blob[end : end + 4]):
+            yield node, blob
+            return
+        yield node, blob[:end]
+        view = blob[end:]
+
+
 def to_frame(node: Node, array: pa.Array) -> bytes:
     return frame(node, encode(node, array))
 

@@ -1,11 +1,15 @@
 """Blobs in streams: files of frames as they arrive, or messages whose value is a frame.
 
+Arriving files are listed by Spark's own file source, whose log has each file once. Files that a stream writes are named for it and the
+micro-batch, so a batch that runs again replaces its own.
+
 A stream's columns are fixed when it is planned, so frames of one known writer are decoded in the plan; where versions mix,
 each micro-batch is sorted by writer and every version gets its compiled projection.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -14,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lamella.operators.encode import Batch
-from lamella.operators.reconcile import Options, evolve
-from lamella.plans.schema import Node, Struct
-from lamella.sources.blobs import SUFFIX, decoded, write
+from lamella.operators.reconcile import Options, evolve, written
+from lamella.plans.schema import Node, Struct, from_spark
+from lamella.sources.blobs import FORMAT, SUFFIX, batch_run, decoded, register, write
 from lamella.sources.frame import MAGIC, frame, peek_schema
 
 
@@ -68,8 +72,17 @@ def for_each_version(frames: DataFrame, reader: Struct, sink: Callable[[DataFram
 
 
 def write_blobs(stream: DataFrame, path: str, checkpoint: str, node: Struct | None = None, available_now: bool = True) -> StreamingQuery:
-    """A stream of rows into blob files, one set a micro-batch."""
-    run = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: write(df, path, node))
+    """A stream of rows into blob files, one set a micro-batch; a batch that runs again replaces its set, so no row is there twice."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    run = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: write(df, path, node, run=batch_run(name, i)))
+    return (run.trigger(availableNow=True) if available_now else run).start()
+
+
+def write_format(stream: DataFrame, path: str, checkpoint: str, node: Struct | None = None, available_now: bool = True) -> StreamingQuery:
+    """The same by the source's own stream writer, writeStream.format(...): without a batch job for every micro-batch."""
+    register(stream.sparkSession)
+    node = node or from_spark(stream.schema)
+    run = written(stream, node).writeStream.format(FORMAT).option("checkpointLocation", checkpoint).option("schema", node.to_json()).option("path", path)
     return (run.trigger(availableNow=True) if available_now else run).start()
 
 

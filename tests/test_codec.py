@@ -127,7 +127,7 @@ def test_nonzero_and_math():
         blob(NONZERO["NonZeroU32"], [0])
     with pytest.raises(E.LamellaError):
         decode(NONZERO["NonZeroU32"], blob(U32, [0]))
-    assert sum(k.endswith(("Vec2", "Vec3", "Vec4", "Vec3A")) for k in MATH) == 37 and len(MATH["EulerRot"].variants) == 24
+    assert sum(k.endswith(("Vec2", "Vec3", "Vec4", "Vec3A")) for k in MATH) == 40 and len(MATH["EulerRot"].variants) == 24
     mat = MATH["Mat3"]
     row = {f"_{i}": float(i) for i in range(9)}
     assert decode(mat, blob(mat, [row])).to_pylist() == [row]

@@ -110,13 +110,13 @@ REFUSE = [
     ("EV19 untagged", U32, S(Field("id", U32, 0)), "alias"),
     ("EV20 no default", Unit(), S(("f", U32)), "`f`"),
     ("EV23 untagged", POINT, S(("x", U32), ("y", U32)), '"0", "1", "2"'),
-    ("EV24 named to tuple", S(("x", U32)), TupleStruct("P", [U32]), "nowhere"),
+    ("EV24 named to tuple", S(("x", U32)), TupleStruct("P", [U32]), "positions"),
     ("EV24 named to plain", S(("x", U32)), Newtype("N", U32), "u32"),
     ("EV26 bare tuple grows", Tuple([U32]), Tuple([U32, U32]), "can't grow"),
     ("EV25 no default", TupleStruct("P", [U32]), TupleStruct("P", [U32, U32]), "`1`"),
     ("EV34 unit to newtype", TOOL, Enum("Tool", [Variant("Sword", "newtype", [Field("", U8, 1)])]), "holds nothing"),
-    ("EV37 named variant to tuple", TOOL, Enum("Tool", [Variant("Bow", "tuple", [U32])]), "nowhere"),
-    ("EV37 named variant to newtype", TOOL, Enum("Tool", [Variant("Bow", "newtype", [U32])]), "nowhere"),
+    ("EV37 named variant to tuple", TOOL, Enum("Tool", [Variant("Bow", "tuple", [U32])]), "positions"),
+    ("EV37 named variant to newtype", TOOL, Enum("Tool", [Variant("Bow", "newtype", [U32])]), "positions"),
     ("EV43 map to struct", Map(STRING, U32), S(("a", U32)), "map"),
     ("EV43 struct to map", S(("a", U32)), Map(STRING, U32), "S"),
     ("two names match", S(("a", U32), ("b", U32)), S(Field("a", U32, aliases=("b",))), "several"),

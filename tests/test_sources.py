@@ -6,11 +6,12 @@ import decimal
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.errors import SchemaMismatch
+from lamella.errors import LamellaError, SchemaMismatch
 from lamella.functions.std_types import F64, I32, I64, STRING
 from lamella.operators import compat
 from lamella.operators.compat import Verdict
 from lamella.operators.misfits import misfits
+from lamella.operators.reconcile import assess
 from lamella.plans.schema import Convert, Enum, Field, Newtype, Option, Primitive, Seq, Struct, Variant, from_spark
 from lamella.sources import blobs
 from lamella.streaming import blobs as streams
@@ -30,7 +31,7 @@ def test_write_scan_and_format(spark, people, tmp_path):
     assert sorted(spark.read.format("lamella").load(path).collect(), key=key) == sorted(people.collect(), key=key)
     assert spark.read.format("lamella").schema("name string").load(path).where("name = 'ann'").count() == 1
     assert blobs.scan(spark, path).count() == 3
-    assert sum(b for _, b in blobs.column_bytes(path)) > 0
+    assert sum(blobs.column_bytes(spark, path).values()) > 0
     with pytest.raises(Exception, match="SchemaMismatch|expected"):
         spark.read.format("lamella").schema("name int").load(path).collect()
 
@@ -84,14 +85,15 @@ def test_verdicts(spark):
     old = Struct("S", [("v", u("u64")), ("untouched", STRING)])
     assert compat.check(spark, old, old).verdict is Verdict.OK
     narrow = compat.check(spark, old, Struct("S", [("v", u("u8")), ("untouched", STRING)]))
-    assert narrow.verdict is Verdict.VALUE_DEPENDENT and "`v` was written as u64" in str(narrow)
+    assert narrow.verdict is Verdict.VALUE_DEPENDENT and "v narrows from u64 to u8" in str(narrow)
     assert compat.check(spark, old, Struct("S", [("v", u("u64")), ("new", STRING)])).verdict is Verdict.UNREADABLE
     wide = Struct("S", [("a", u("u64")), ("b", u("i64")), ("c", I32)])
     assert compat.check(spark, Struct("S", [("a", u("u8")), ("b", u("u32")), ("c", u("i8"))]), wide).verdict is Verdict.OK
     odd = Convert(I32, lambda c: F.when(c % 2 == 0, c).otherwise(F.raise_error(F.lit("odd")).cast("int")), lambda c: c, "int")
     assert compat.check(spark, Struct("H", [("v", I32)]), Struct("H", [("v", odd)])).verdict is Verdict.INCONCLUSIVE
-    # a field found by its alias is compared by nothing, on purpose
-    assert compat.check(spark, Struct("S", [("a", u("u64"))]), Struct("S", [Field("b", u("u16"), aliases=("a",))])).verdict is Verdict.OK
+    # aliases and positions lead to what is read, so narrowings are found behind them
+    assert compat.check(spark, Struct("S", [("a", u("u64"))]), Struct("S", [Field("b", u("u16"), aliases=("a",))])).verdict is Verdict.VALUE_DEPENDENT
+    assert compat.check(spark, Struct("S", [("a", u("u64"))]), Struct("S", [Field("b", u("u64"), aliases=("a",))])).verdict is Verdict.OK
 
 
 def test_probe_meets_nested_variants(spark):
@@ -105,10 +107,64 @@ def test_probe_meets_nested_variants(spark):
     assert compat.check(spark, deep("X", "Y"), deep("Y", "X", "Z")).verdict is Verdict.OK
 
 
-def test_findings_paths():
+def test_findings_paths(spark):
     shape = lambda t: Enum("E", [Variant("A", "struct", [("depth", t)]), Variant("B", "newtype", [Seq(Option(t))]), Variant("C", "newtype", [Newtype("N", t)])])
-    assert [f[0] for f in compat.narrowings(shape(Primitive("u64")), shape(Primitive("u16")))] == ["A.depth", "B", "C"]
-    assert compat.narrowings(F64, Primitive("f32")) == []
+    assert [n.path for n in assess(shape(Primitive("u64")), shape(Primitive("u16"))).narrowings] == ["A.depth", "B", "C"]
+    assert assess(F64, Primitive("f32")).narrowings == ()
+    assert assess(STRING, I32).refusal
+
+
+def test_parts_of_other_runs_stay_and_runs_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = spark.range(10).select(F.col("id").alias("a"))
+    other = tmp_path / "p" / "_temporary" / "other"
+    other.mkdir(parents=True)
+    (other / "part").write_bytes(b"unfinished")
+    blobs.write(df, path, run="one")
+    blobs.write(df, path, run="one")
+    assert (other / "part").read_bytes() == b"unfinished" and blobs.scan(spark, path).count() == 10
+    blobs.write(df, path, run="two")
+    assert blobs.scan(spark, path).count() == 20
+    blobs.write(df, path, mode="overwrite")
+    assert blobs.scan(spark, path).count() == 10
+
+
+def test_only_wanted_columns_are_read(spark, people, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    blobs.write(people.coalesce(1), path, rows_per_blob=2)
+    name = blobs.files(path)[0]
+    fs, _ = blobs.file_system(path)
+    with fs.open_input_file(name) as f:
+        frames = list(blobs.file_frames(f))
+    assert [rows for _, rows, _, _ in frames] == [2, 1]
+    # damage a column that is not asked for: it is not looked at
+    from lamella.plans.layout import width
+
+    node, _, lengths, at = frames[0]
+    before = sum(width(f.node) for f in node.fields if f.name == "id")
+    data = bytearray(open(name, "rb").read())
+    data[at + sum(lengths[:before])] = 9
+    open(name, "wb").write(data)
+    fs, _ = blobs.file_system(path)
+    assert [r for _, a in blobs.read_file(fs, name, ["id"], False) for r in a.to_pylist()] == [{"id": 1}, {"id": 2}, {"id": 3}]
+    with pytest.raises(LamellaError):
+        list(blobs.read_file(fs, name, ["id"], True))
+    assert sorted(r["id"] for r in blobs.scan(spark, path, Struct("A", [("id", Option(I64))])).collect()) == [1, 2, 3]
+    with pytest.raises(Exception, match="InvalidTag"):
+        blobs.scan(spark, path).collect()
+    assert blobs.scan(spark, path, permissive=True).count() == 0
+    assert blobs.claimed_rows(spark, path).agg(F.sum("rows")).first()[0] == 3
+
+
+def test_names_without_fingerprints(spark, people, tmp_path):
+    import os
+
+    path = str(tmp_path / "p")
+    blobs.write(people, path)
+    for f in blobs.files(path):
+        os.rename(f, f[: f.rindex("-s")] + blobs.SUFFIX)
+    blobs.write(people, path)
+    assert blobs.scan(spark, path).count() == 6 and len(blobs.writer_schemas(path)) == 1
 
 
 def test_equal_maps_have_equal_bytes_and_sets_are_distinct(spark, tmp_path):
