@@ -186,6 +186,26 @@ def bitmap_of(df: DataFrame, position: Column, bits: int) -> np.ndarray:
     return out
 
 
+def maybe_in(keys: DataFrame, position: Column, bits: int = 1 << 26):
+    """A function of such positions: false where keys surely holds none, and true where it may. What it knows has a fixed size, whatever the rows."""
+    known = keys.sparkSession.sparkContext.broadcast(bitmap_of(keys, position, bits))
+
+    @F.arrow_udf("boolean")
+    def picked(spot: pa.Array) -> pa.Array:
+        at = spot.to_numpy(zero_copy_only=False)
+        return pa.array(((known.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+
+    return picked
+
+
+def without(df: DataFrame, gone: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
+    """The rows of df whose key is not among gone's. Only rows that a filter of fixed size can't clear meet gone in a join, so the others stay where they are.
+    A null key is never among them, and repeated keys in gone count once."""
+    spot = F.pmod(F.xxhash64(key), F.lit(bits))
+    picked = maybe_in(gone, spot, bits)
+    return df.where(~picked(spot)).unionByName(df.where(picked(spot)).join(gone.select(key), key, "left_anti").select(*df.columns))
+
+
 def summed_array(df: DataFrame, per_task, length: int, dtype: type = np.int64, cuts: int = 128) -> np.ndarray:
     """The sum over all tasks of the array of this length that per_task(batches) makes in each.
 

@@ -13,6 +13,7 @@ blocks of visitors meet blocks of residents; a task returns a count and a root f
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        own = squared(x, centres).argmin(1)
+        own = np.concatenate([squared(x[i : i + 1024], centres).argmin(1) for i in range(0, len(x), 1024)])
         for j in range(k):
             mine = x[own == j]
             centres[j] = mine.mean(0) if len(mine) else x[rng.integers(len(x))]
@@ -58,6 +59,7 @@ class Grid:
 
     def __init__(self, left: np.ndarray, right: np.ndarray):
         self.left, self.right, self.k, self.half = left, right, len(left), left.shape[1]
+        self.first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return squared(x[:, : self.half], self.left), squared(x[:, self.half :], self.right)
@@ -67,8 +69,10 @@ class Grid:
         one, two = self.distances(x)
         most = min(most, self.k * self.k)
         by_one, by_two = one.argsort(1, kind="stable"), two.argsort(1, kind="stable")
-        # a cell of ranks (i, j) has (i + 1) (j + 1) - 1 others before it at least
-        i, j = np.nonzero(np.outer(np.arange(1, self.k + 1), np.arange(1, self.k + 1)) <= most)
+        if most not in self.first:  # a cell of ranks (i, j) has (i + 1) (j + 1) - 1 others before it at least
+            upto = [min(self.k, most // (i + 1)) for i in range(min(self.k, most))]
+            self.first[most] = np.repeat(np.arange(len(upto)), upto), np.concatenate([np.arange(n) for n in upto])
+        i, j = self.first[most]
         total = np.take_along_axis(one, by_one, 1)[:, i] + np.take_along_axis(two, by_two, 1)[:, j]
         first = total.argsort(1, kind="stable")[:, :most]
         rows = np.arange(len(x))[:, None]
@@ -110,7 +114,7 @@ def fitted(live: DataFrame, count: int, dims: int, kind: str) -> Grid:
     draw = live.where(F.pmod(F.xxhash64("row", F.lit(10)), F.lit(1 << 40)) < int(share * (1 << 40))).select("row", "x").collect()
     draw.sort(key=lambda r: r["row"])
     x = matrix([bytes(r["x"]) for r in draw], dims, kind)
-    k = int(min(max(2, round((count / PER_CELL) ** 0.5)), 512, max(1, len(x) // 8)))
+    k = int(min(max(2, round((count / PER_CELL) ** 0.5)), max(1, len(x) // 8)))
     half = dims // 2
     return Grid(k_means(x[:, :half], k, 1), k_means(x[:, half:], k, 2))
 
@@ -140,8 +144,8 @@ def visits_for(place: np.ndarray, weight: np.ndarray, target: float) -> int:
     return int(place[order][np.searchsorted(met, min(target * met[-1] * (1 - 1e-12), met[-1]))]) + 1
 
 
-def visits_needed(live: DataFrame, grid: Grid, dims: int, kind: str, least: float, target: float, floor: int = 4) -> int:
-    """How many cells a vector visits so that the target share of links is met from one side or the other.
+def visits_needed(live: DataFrame, grid: Grid, dims: int, kind: str, least: float, target: float, floor: int = 4) -> tuple[int, float]:
+    """How many cells a vector visits so that the target share of links is met from one side or the other, and the share that so many meet.
 
     Measured twice, and the larger counts: over the links of sampled distinct vectors, a vector's links weighing 1
     together and its copies left out, as they lie where it does; and over neighbours drawn round them at the
@@ -175,7 +179,8 @@ def visits_needed(live: DataFrame, grid: Grid, dims: int, kind: str, least: floa
     seen = visits_for(place, links / np.bincount(query, links, len(sample))[query], target)
     near, far = drawn_neighbours(sample, least)
     made = np.minimum(grid.place(near, grid.cells(far, 1)[:, 0]), grid.place(far, grid.cells(near, 1)[:, 0]))
-    return min(max(floor, seen, visits_for(made, np.ones(len(made)), target)), grid.k**2)
+    visits = min(max(floor, seen, visits_for(made, np.ones(len(made)), target)), grid.k**2)
+    return visits, float((made < visits).mean()) if len(made) else 1.0
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -256,26 +261,32 @@ def meetings(live: DataFrame, grid: Grid, dims: int, kind: str, visits: int, lea
     return both.repartition(parts(spark), *keys).sortWithinPartitions(*keys).mapInArrow(meet, "row long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, target: float = 0.99) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, target: float = 0.99, report: list | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding).
 
-    Two rows link when they meet in the index and their cosine in double precision is `least` or more. n_links
+    Two rows link when they meet in the index and their cosine in double precision is `least` or more; vectors of each length
+    have an index of their own, as none links with one of another length. n_links
     counts the other rows linked directly, component_id is the smallest vec_id that links reach, kept
-    whether that is the row's own. A null, empty or zero vector, one with a null or non-finite component, and one of another
-    length than most links with nothing. Repeated rows are rows of their own, so they link. A null vec_id names no
+    whether that is the row's own. A null, empty or zero vector, and one with a null or non-finite component, links
+    with nothing. Repeated rows are rows of their own, so they link. A null vec_id names no
     component unless its component has no other id; kept is then true for all. Other columns are not read. An
     empty table gives none. target: the share of links that the number of visits is measured for, over
-    vectors of equal weight and over neighbours drawn at the threshold.
+    vectors of equal weight and over neighbours drawn at the threshold. report: gets (length, rows, codewords a half, visits,
+    share of the drawn neighbours met) for each length.
     """
     all_rows, kind = prepared(vectors)
-    sizes = all_rows.where("x is not null").groupBy(F.octet_length("x").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
-    if not sizes:  # nothing to compare
+    sizes = all_rows.where("x is not null").groupBy(F.octet_length("x").alias("n")).agg(F.count("*").alias("rows")).where("rows > 1").orderBy("n").collect()  # a row a length
+    found = []
+    for size in sizes:
+        dims, live = size["n"] // np.dtype(kind).itemsize, all_rows.where(F.octet_length("x") == size["n"])
+        grid = fitted(live, size["rows"], dims, kind)
+        visits, share = visits_needed(live, grid, dims, kind, least, target)
+        if report is not None:
+            report.append((dims, size["rows"], grid.k, visits, share))
+        found.append(materialise(meetings(live, grid, dims, kind, visits, least), "met"))
+    if not found:  # nothing to compare
         return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = sizes[0]["n"] // np.dtype(kind).itemsize
-    live = all_rows.where(F.octet_length("x") == sizes[0]["n"])
-    grid = fitted(live, sizes[0]["rows"], dims, kind)
-    visits = visits_needed(live, grid, dims, kind, least, target)
-    met = materialise(meetings(live, grid, dims, kind, visits, least), "met")
+    met = reduce(DataFrame.union, found)
     counts = met.groupBy("row").agg(F.sum("links").alias("links"))
     groups = components(met.select(F.col("row").alias("a"), F.col("root").alias("b")))
     named = groups.join(all_rows.select(F.col("row").alias("node"), "vec_id"), "node")

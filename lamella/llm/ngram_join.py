@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import Forest, binary_array, bitmap_of, grouped, materialise, only, packed, parts, runs, summed_array, text_parts, text_slices
+from lamella.llm.common import Forest, binary_array, bitmap_of, grouped, materialise, maybe_in, only, packed, parts, runs, summed_array, text_parts, text_slices
 from lamella.llm.components import components
 from lamella.llm.wordhash import gram_hashes, mix, span_hashes, word_spans
 
@@ -336,13 +336,7 @@ def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (tkey, doc_id and more) with the text of each row. A filter of fixed size picks the texts before any moves."""
     own = [F.col("tkey"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id")]
     spot = F.pmod(F.xxhash64("tkey", F.coalesce("doc_id", F.lit(_NO_ID))), F.lit(FILTER_BITS))
-    fetch = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, spot, FILTER_BITS))
-
-    @F.arrow_udf("boolean")
-    def picked(spot: pa.Array) -> pa.Array:
-        at = spot.to_numpy(zero_copy_only=False)
-        return pa.array(((fetch.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
-
+    picked = maybe_in(wanted, spot, FILTER_BITS)
     # rows that are equal in id and text may be many: each task gives one
     texts = docs.where(picked(spot)).select(*own, "text").dropDuplicates(["tkey", "id"])
     keys = wanted.select(*own, *[c for c in wanted.columns if c not in ("tkey", "doc_id")])

@@ -7,6 +7,7 @@ the same expressions compute; over the pages run the fitted trees as CASE expres
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from lamella.llm.common import only
 from lamella.llm.trees import Ensemble, boosted_trees
 
-#: Labelled urls that the trees are fitted on, at most; suffixes whose statistics are kept, the most frequent first.
-TRAIN_ROWS, SUFFIXES = 20_000, 64
+#: Labelled urls that the trees are fitted on, at most; parts that they are cut into, each with suffix statistics from the others.
+TRAIN_ROWS, FOLDS = 20_000, 5
 
 #: The rules of the query: verdict, host and path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -101,17 +102,27 @@ class UrlModel:
             raise ValueError("no labelled url to learn from")
         got.sort()
         y = np.array([r["label"] for r in got], np.float64)
-        count: dict[str, list[float]] = {}
-        for r in got:
-            n = count.setdefault(r["suffix"], [0.0, 0.0])
-            n[0] += 1
-            n[1] += r["label"]
         self.prior = float(y.mean())
-        top = sorted(count.items(), key=lambda x: (-x[1][0], x[0]))[:SUFFIXES]
-        self.suffixes = {s: round((b + 20 * self.prior) / (n + 20), 6) for s, (n, b) in top}
-        x = np.array([[*(r[f] for f in FEATURES), self.suffixes.get(r["suffix"], self.prior)] for r in got], np.float64)
+        suffix = [r["suffix"] for r in got]
+        self.suffixes = self.rates(suffix, y)
+        # the trees learn from rates that a url's own label is no part of
+        fold = np.random.default_rng(9).permutation(len(got)) % FOLDS
+        seen = np.zeros(len(got))
+        for k in range(FOLDS):
+            apart = self.rates([s for s, f in zip(suffix, fold, strict=True) if f != k], y[fold != k])
+            seen[fold == k] = [apart.get(s, self.prior) for s, f in zip(suffix, fold, strict=True) if f == k]
+        x = np.column_stack([np.array([[r[f] for f in FEATURES] for r in got], np.float64), seen])
         self.trees: Ensemble = boosted_trees(x, y)
 
+    def rates(self, suffix: list[str], y: np.ndarray) -> dict[str, float]:
+        """The share of urls to block for each suffix, drawn towards the share of all where a suffix is rare."""
+        count: dict[str, list[float]] = {}
+        for s, label in zip(suffix, y, strict=True):
+            n = count.setdefault(s, [0.0, 0.0])
+            n[0] += 1
+            n[1] += label
+        return {s: round((b + 20 * self.prior) / (n + 20), 6) for s, (n, b) in sorted(count.items())}
+
     @staticmethod
     def measured(df: DataFrame) -> DataFrame:
         df = df.withColumn("query", F.expr("regexp_extract(url, '[?]([^#]*)', 1)")).withColumn("suffix", F.expr("substring_index(host, '.', -2)"))
@@ -119,8 +130,9 @@ class UrlModel:
 
     def scored(self, df: DataFrame) -> DataFrame:
         """df (url, host, path) and score: how likely the url is one to block."""
-        rate = "CASE suffix " + " ".join("WHEN '{}' THEN {!r}D".format(s.replace("'", "\\'"), v) for s, v in self.suffixes.items()) + f" ELSE {self.prior!r}D END"
-        return self.measured(df).withColumn("suffix_rate", F.expr(rate)).withColumn("score", F.round(F.expr(self.trees.sql([*FEATURES, "suffix_rate"])), 6))
+        known = F.lit(json.dumps(self.suffixes))
+        rate = F.coalesce(F.try_element_at(F.from_json(known, "map<string,double>"), F.col("suffix")), F.lit(self.prior))
+        return self.measured(df).withColumn("suffix_rate", rate).withColumn("score", F.round(F.expr(self.trees.sql([*FEATURES, "suffix_rate"])), 6))
 
 
 def judge(pages: DataFrame, rules: Sequence[Sequence[str]] = RULES, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:

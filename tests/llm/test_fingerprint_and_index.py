@@ -128,11 +128,11 @@ def test_index_visits_without_links_are_measured(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "PER_CELL", 8)
     live, kind = multi_index.prepared(vectors(spark, far_pairs(0, 0)))
     grid = multi_index.fitted(live, 2000, 32, kind)
-    visits = multi_index.visits_needed(live, grid, 32, kind, 0.9, 0.99)
+    visits, share = multi_index.visits_needed(live, grid, 32, kind, 0.9, 0.99)
     x = multi_index.unit(np.random.default_rng(6).normal(size=(500, 32)))
     near, far = multi_index.drawn_neighbours(x, 0.9, 2)
     met = np.minimum(grid.place(near, grid.cells(far, 1)[:, 0]), grid.place(far, grid.cells(near, 1)[:, 0])) < visits
-    assert visits > 4 and met.mean() > 0.96
+    assert visits > 4 and met.mean() > 0.96 and share >= 0.99
 
 
 def test_index_blocks_count_each_link_once(spark, monkeypatch):
@@ -145,6 +145,20 @@ def test_index_blocks_count_each_link_once(spark, monkeypatch):
     assert out == truth
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist(), 0) for i in range(40)]
+    rows += [(100 + i, v, 0) for i, v in enumerate([[1.0, 2.0], [2.0, 4.0], [0.0, 1.0], [1.0, 2.0, 0.0], [1.0, 2.0, 0.1], [5.0]])]
+    rows += [(200 + i, (np.array(rows[i][1]) * 3).tolist(), 0) for i in range(0, 40, 10)]
+    report = []
+    out = {r.vec_id: (r.n_links, r.component_id) for r in multi_index.near_duplicates(vectors(spark, rows), report=report).collect()}
+    want = {}
+    for length in {len(v) for _, v, _ in rows}:
+        want |= brute([r for r in rows if len(r[1]) == length])
+    assert out == want and out[100] == (1, 100) and out[101] == (1, 100) and out[104] == (1, 103) and out[105] == (0, 105)
+    assert [(d, n) for d, n, *_ in report] == [(2, 3), (3, 2), (4, 44)] and all(v >= 1 and 0.9 <= s <= 1 for *_, v, s in report)
+
+
 def test_index_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, 0), (2, [], 0), (3, [0.0, 0.0], 0), (4, [nan, 1.0], 0), (5, [inf, 1.0], 0), (6, [None, 1.0], 0), (7, [1.0, 0.0], 0), (8, [2.0, 0.0], 0), (8, [2.0, 0.0], 0), (9, [0.0, 1.0], 0), (10, [1.0, 0.0, 0.0], 0), (None, [0.0, 3.0], 0)]

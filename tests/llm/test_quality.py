@@ -5,7 +5,9 @@ import zlib
 
 import numpy as np
 
+from lamella.llm import quality
 from lamella.llm.quality import Network, keep_good, quality_scores
+from lamella.llm.wordhash import span_hashes
 from tests.llm.helpers import clashing, documents, odd_documents, words
 
 
@@ -44,6 +46,55 @@ def test_held_out_labels_change_nothing(spark):
     assert a == b
 
 
+def plain_tokens(text: str) -> list[int]:
+    """Rows of the word table for runs of letters, digits and signs, one byte after another."""
+    kind = lambda b: 0 if b in b" \t\n\v\f\r" else 1 if b >= 128 or bytes([b]).isalpha() else 2 if 48 <= b <= 57 else 3
+    out, run = [], b""
+    for b in [*text.encode(), None]:
+        if run and (b is None or kind(b) != kind(run[-1])):
+            if kind(run[-1]):
+                out.append(int(span_hashes(np.frombuffer(run, np.uint8), np.array([0]), np.array([len(run)]), fold=True)[0] % np.uint64(quality.WORD_ROWS)))
+            run = b""
+        if b is not None:
+            run += bytes([b])
+    return out
+
+
+def test_word_vectors_and_pooling_equal_a_plain_version(spark):
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, rng.randrange(30))) + rng.choice(["", " 42!", " Ünï?? 7x"]) for _ in range(25)] + ["", "one", "  "]
+    tables = quality.word_tables(documents(spark, list(enumerate(texts))))
+    places, signs = quality.index_vectors(quality.WORD_ROWS, quality.WORD_DIMS, 1)
+    total = {}
+    for tokens in map(plain_tokens, texts):
+        for i, a in enumerate(tokens):
+            for j in range(max(0, i - quality.WINDOW), min(len(tokens), i + quality.WINDOW + 1)):
+                if i != j:
+                    for k in range(quality.SIGNS):
+                        total.setdefault(a, np.zeros(quality.WORD_DIMS))[places[tokens[j], k]] += signs[tokens[j], k]
+    unit = {a: v / max(np.linalg.norm(v), 1e-9) for a, v in total.items()}
+    assert all(np.allclose(tables[0][a], v, atol=1e-6) for a, v in unit.items())
+    assert not tables[0][[a for a in range(0, quality.WORD_ROWS, 97) if a not in unit]].any()
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        got, tokens = quality.pooled(data, np.array([0, len(data)]), *tables)[0], plain_tokens(text)
+        want = np.mean([unit.get(t, np.zeros(quality.WORD_DIMS)) for t in tokens], axis=0) if tokens else np.zeros(quality.WORD_DIMS)
+        assert np.allclose(got[: quality.WORD_DIMS], want, atol=1e-5)
+        assert np.isclose(got[-2], np.log1p(len(tokens))) and np.isclose(got[-1], len(set(tokens)) / len(tokens) if tokens else 0)
+
+
+def test_scores_equal_the_network_by_hand():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 6))
+    net = Network(x, (x[:, 1] > 0).astype(float), epochs=5)
+    w1, b1, w2, b2 = net.p
+    for row in x[:20]:
+        z = (row - net.mean) / net.scale
+        hidden = [max(0.0, sum(z[i] * w1[i, j] for i in range(6)) + b1[j]) for j in range(w1.shape[1])]
+        logit = (sum(h * w for h, w in zip(hidden, w2, strict=True)) + b2[0]) / net.temperature
+        assert np.isclose(net.scores(row[None])[0], 1 / (1 + np.exp(-logit)))
+
+
 def test_odd_rows(spark):
     labels = labels_of(spark, [(1, 0, 0), (4, 1, 0), (5, 1, 0), (5, 0, 0), (7, None, 0), (None, 1, 0), (99, 0, 1)])
     out = quality_scores(odd_documents(spark), labels).collect()

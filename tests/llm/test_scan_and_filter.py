@@ -193,6 +193,52 @@ def test_url_trees_on_urls_kept_out(spark):
     assert np.mean([(r.score >= 0.5) == r.label for r in out]) > 0.95
 
 
+def plain_url_features(url: str, host: str, path: str) -> dict[str, float]:
+    import math
+
+    query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+    labels = host.split(".")
+    share = [host.count(c) / max(len(host), 1) for c in set(host)]
+    return {
+        "length": len(url), "host_length": len(host), "labels": len(labels), "depth": sum(a == "/" and b != "/" for a, b in zip(path, path[1:], strict=False)), "digit_ratio": sum(c in "0123456789" for c in url) / max(len(url), 1),
+        "host_digits": sum(c in "0123456789" for c in host), "host_hyphens": host.count("-"), "entropy": -sum(p * math.log2(p) for p in share), "query_length": len(query), "longest_label": max(map(len, labels)),
+        "vowels": sum(c in "aeiou" for c in host) / max(len(host), 1), "secure": float(url.startswith("https:")),
+    }
+
+
+def test_url_verdicts_equal_a_plain_version(spark):
+    """Features by hand, trees walked one by one, rules before them."""
+    from lamella.llm import url_filter
+
+    urls = [u or "" for u in URLS] + [r.url for r in labelled_urls(spark, 300).collect()]
+    labelled = labelled_urls(spark, 2000)
+    model = UrlModel(labelled)
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    measured = {r.page_id: r for r in model.scored(url_filter.with_parts(df)).collect()}
+    out = {r.page_id: r for r in judge(df, labelled=labelled).collect()}
+    for i, u in enumerate(urls):
+        host, path, rule, verdict = rule_by_hand(u)
+        r = measured[i]
+        assert all(abs(r[k] - v) < 1e-9 for k, v in plain_url_features(u, host, path).items()), (u, plain_url_features(u, host, path))
+        rate = model.suffixes.get(".".join(host.split(".")[-2:]), model.prior)
+        x = np.array([[*(r[k] for k in url_filter.FEATURES), rate]])
+        score = 1 / (1 + np.exp(-(model.trees.base + model.trees.scale * sum(apply_tree(t, x)[0] for t in model.trees.trees))))
+        assert abs(score - out[i].score) < 1e-5 and out[i].rule == rule
+        assert out[i].verdict == (verdict or ("block" if out[i].score >= 0.5 else "allow"))
+
+
+def test_suffix_rates_are_learned_out_of_fold(spark):
+    """A suffix of one url says nothing of that url: were its own label in its rate, trees would read it off."""
+    rows = [(f"http://site.only{i}.zone{i}/", i % 2) for i in range(400)]
+    model = UrlModel(spark.createDataFrame(rows, "url string, label int"))
+    assert len(model.suffixes) == 400
+    fresh = spark.createDataFrame([(f"http://site.only{i}.fresh{i}/",) for i in range(400, 800)], "url string")
+    from lamella.llm.url_filter import with_parts
+
+    scores = [r.score for r in model.scored(with_parts(fresh)).select("score").collect()]
+    assert 0.2 < np.mean(scores) < 0.8
+
+
 def test_url_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (1, None, None), (None, "http://x.com/" + "a" * 50_000, "h")], "page_id long, url string, html string")
     assert judge(pages).count() == 3
