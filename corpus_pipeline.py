@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm import mixing
-from lamella.llm.common import DOCUMENT_COLUMNS, materialise, only, read_table
+from lamella.llm.common import DOCUMENT_COLUMNS, materialise, only, read_table, without
 from lamella.llm.ngram_join import jaccard_groups
 from lamella.llm.packing import pack
 from lamella.llm.quality import keep_good
@@ -23,7 +23,11 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones (score 0.3 or more)."""
+    """Documents that the classifier takes for good ones (score 0.3 or more), trained on the labels beside them.
+
+    Repeated rows have equal scores, so they stay or go together. A null or empty text has the score of no tokens; a null id
+    has no label and is scored. Without labels all scores are 0.5 and all rows stay. Other columns are not read; an empty table stays empty.
+    """
     return keep_good(_documents(docs), read_table(spark, sf_dir, "labels"), 0.3)
 
 
@@ -40,21 +44,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         docs = docs.withColumn("row", F.col("doc_id").cast("long"))
     groups = materialise(jaccard_groups(docs.select(F.col("row").alias("doc_id"), "text"), 5, 75), "groups")
     out = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("row"))
-    return docs.join(out, "row", "left_anti").select(*DOCUMENT_COLUMNS)
+    return without(docs, out, "row").select(*DOCUMENT_COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by a mark."""
+    """All documents, with secrets in their texts replaced by a mark.
+
+    Null and empty texts stay as they are; a null source is an empty path; repeated rows are changed alike; an empty table stays empty.
+    """
     return redact(_documents(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, or left out, so that sources have shares by the root of their size; in global random order."""
+    """Documents repeated, or left out, so that sources have shares by the root of their size; in global random order.
+
+    A null source is one of its own. Sources without characters (null and empty texts only) carry nothing to a mix, and their rows go.
+    Rows equal in id and text have equal draws. An empty table stays empty.
+    """
     return mixing.replicate(_documents(docs)).select(*DOCUMENT_COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of at most 2048 tokens."""
+    """The pieces of all documents, packed into sequences of at most 2048 tokens.
+
+    A null or empty text is one token; longer texts than a sequence are cut; repeated rows are pieces of their own, and so are those of a
+    null id. An empty table gives no row.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
@@ -66,11 +81,16 @@ STAGES: list[tuple[str, _Stage]] = [
     ("best-fit packing", packing),
 ]
 
-#: Training and tokenising can't be written in SQL; tests hold every stage against a brute-force version.
+#: Training and tokenising can't be written in SQL; tests/llm/test_pipeline.py holds the stages against brute-force versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents, each written and read again.
+
+    Rows are documents, whatever their ids: repeated ones fall to the near-duplicate stage, ties between equal ones go to the smallest id, nulls
+    are handled as each stage says. Columns beyond those of documents are dropped at the first stage. An empty table gives no row.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
