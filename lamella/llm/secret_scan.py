@@ -133,7 +133,8 @@ def labelled_findings(spark: SparkSession, rows: int = 12_000) -> DataFrame:
     drawn = raw.selectExpr("*", f"{form} as form", f"{where} as place", f"{pick(15, *map(repr, ('src/app', 'src', 'config/settings.yml', 'tests/fixture', 'docs/readme', 'lib/core', '', 'src7', 'web')))} as path")
     text = "case form " + " ".join(f"when '{k}' then {pick(31 + i, *v)}" for i, (k, v) in enumerate(forms.items())) + " end"
     lead = "case place " + " ".join(f"when '{k}' then {v}" for k, v in before.items()) + " end"
-    made = drawn.selectExpr("*", f"{text} as text", f"{lead} as before")
+    # too long for one generated method, so both are evaluated as they stand
+    made = drawn.selectExpr("*", f"element_at(transform(array(0), x -> {text}), 1) as text", f"element_at(transform(array(0), x -> {lead}), 1) as before")
     real = "place = 'named' or place = 'example' and not (path like 'tests%' or path like 'docs%')"
     label = f"form = 'marked' or form = 'random' and ({real} or place = 'beside') or form = 'hexadecimal' and ({real})"
     tail = f"if(form = 'never' and text rlike 'get|load', '(', if(before rlike '[\"\\']$', right(before, 1), ' '))"
