@@ -191,11 +191,12 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, length: int = 1024
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["slot", "shard", "place", "sequence", "n_tokens", "ids_crc32", "doc_ids"])
 
     kind = "slot long, shard long, place long, sequence long, n_tokens long, ids_crc32 long, doc_ids array<long>"
+    meta = {"sequences": total, "length": length, "width": width, "stride": stride, "shard_rows": shard_rows, "header": _HEADER, "key": key}
     if not total:
+        _write(path, "meta.json", [json.dumps(meta).encode()])
         return spark.createDataFrame([], kind)
     dealt = docs.mapInArrow(number, "slot long, sequence long, record binary, doc_ids array<long>")
     out = materialise(dealt.repartitionById(shards, F.expr(f"cast(slot div {shard_rows} as int)")).sortWithinPartitions("slot").mapInArrow(write, kind), "slots")
-    meta = {"sequences": total, "length": length, "width": width, "stride": stride, "shard_rows": shard_rows, "header": _HEADER, "key": key}
     _write(path, "meta.json", [json.dumps(meta).encode()])
     return out
 
@@ -208,7 +209,7 @@ class ShardReader:
         self.fs, self.root = _fs(path)
         with self.fs.open_input_stream(f"{self.root}/meta.json", compression=None) as f:
             self.meta = json.loads(f.read())
-        self.order = Feistel(self.meta["sequences"], self.meta["key"])
+        self.order = Feistel(max(1, self.meta["sequences"]), self.meta["key"])
 
     def __len__(self) -> int:
         return self.meta["sequences"]

@@ -22,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import only, parts, slices
+from lamella.llm.common import materialise, only, parts, slices
 
 # Fixed values of the formats.
 _SKIPPABLE = 0x184D2A5D
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
-#: Records that the dictionary is trained on, about, the most bytes that one of them gives, and the dictionary's size.
+#: Records that the dictionary is trained on, about, the most bytes of payload that one of them gives (from a place that its hash picks), and the dictionary's size.
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 32_768, 65_536
 #: Compressed bytes after which a task begins another archive.
 ARCHIVE_BYTES = 16 << 20
@@ -105,15 +105,16 @@ def records(raw: bytes, at: int | None = None) -> Iterator[tuple[int, bytes]]:
         at = end
 
 
-def train_dictionary(pages: DataFrame, samples: int = SAMPLES) -> bytes:
-    """A dictionary from about this many records, chosen by a hash of id and payload; empty where there are too few."""
+def train_dictionary(pages: DataFrame, date: str, samples: int = SAMPLES) -> bytes:
+    """A dictionary from about this many of the records to be archived, chosen by a hash of id and payload; empty where there are too few."""
     total = pages.count()
     if not total:
         return b""
     share = min(1.0, samples / total)
     draw = pages.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = draw.select("page_id", "url", F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("html")).limit(2 * samples).collect()
-    made = sorted(record(r["page_id"], r["url"], bytes(r["html"]), len(r["html"]), "A" * 32, None, "2024-01-01T00:00:00Z") for r in got)
+    begin = f"cast(1 + pmod(xxhash64(digest), greatest(octet_length(html) - {SAMPLE_BYTES}, 0) + 1) as int)"
+    got = draw.select("page_id", "url", "digest", F.octet_length("html").alias("size"), F.expr(f"substring(encode(html, 'UTF-8'), {begin}, {SAMPLE_BYTES})").alias("html")).limit(2 * samples).collect()
+    made = sorted(record(r["page_id"], r["url"], bytes(r["html"]), r["size"], base32(r["digest"]), None, date) for r in got)
     if len(made) < 16:
         return b""
     try:
@@ -139,7 +140,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
     slim = base.select("page_id", "digest", F.octet_length("html").alias("size"))
     heads = slim.groupBy("digest", "size").agg(F.max("page_id").alias("head"))
     kinds = slim.join(heads, ["digest", "size"]).groupBy(F.col("page_id").alias("p"), F.col("digest").alias("d")).agg(F.max("head").alias("head"), F.max("size").alias("size"))
-    known = spark.sparkContext.broadcast(train_dictionary(base))
+    known = spark.sparkContext.broadcast(train_dictionary(base, date))
 
     def compressor() -> zstandard.ZstdCompressor:
         return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(known.value) if known.value else None, write_checksum=True)
@@ -193,7 +194,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
     fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
     fs.create_dir(root, recursive=True)
     out = rows.repartition(parts(spark), "page_id", "digest").sortWithinPartitions("page_id", "digest").mapInArrow(write, "archive string, records long, bytes long")
-    return spark.createDataFrame([tuple(r) for r in out.collect()] or [], out.schema)  # a row an archive, of 16 MB each
+    return materialise(out, "archives")
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
@@ -237,7 +238,7 @@ g as (select *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, (5 * i
 b as (select page_id, payload_bytes, array_to_string(list_transform(v, lambda x:
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + (x >> 15) % 32)::int, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + (x >> 10) % 32)::int, 1) ||
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + (x >> 5) % 32)::int, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + x % 32)::int, 1)), '') as payload_digest from g),
-m as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as head from b)
-select page_id, payload_bytes, payload_digest, case when page_id = head then 'response' else 'revisit' end as record_type, case when page_id = head then null else head end as refers_to
+m as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as head, row_number() over (partition by payload_digest, payload_bytes order by page_id desc nulls last) as place from b)
+select page_id, payload_bytes, payload_digest, case when place = 1 then 'response' else 'revisit' end as record_type, case when place > 1 then head end as refers_to
 from m
 """

@@ -109,3 +109,4 @@ def test_shards_odd_rows(spark, tmp_path):
     tokenizer = Tokenizer.from_file(PATH)
     assert sum(r.n_tokens for r in index) == sum(1 + len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect())
     assert write_shards(documents(spark, []), str(tmp_path / "e"), PATH).collect() == []
+    assert read_slots(spark, str(tmp_path / "e")).collect() == [] and len(ShardReader(str(tmp_path / "e"))) == 0
