@@ -6,7 +6,8 @@ its halves to the codewords (the multi-sequence), and it visits as many as a mea
 target recall: some distinct vectors, about CALIBRATION of them, are compared with all others by
 brute force, each counting as much as any other however many links it has, and with neighbours drawn round them
 at the threshold, so that tables of few links are measured as well. What meets in a
-cell is verified by the cosine in double precision. Full cells are cut into blocks, and
+cell is verified by the cosine in double precision. Cells that lie near each other make a region, and a vector goes once to each
+region in which it lives or visits cells. Full regions are cut into blocks, and
 blocks of visitors meet blocks of residents; a task returns a count and a root for each row, never pairs.
 """
 
@@ -21,15 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from lamella.llm.common import binary_array, grouped, materialise, only, parts
+from lamella.llm.common import binary_array, grouped, materialise, only, packed, parts
 from lamella.llm.components import components
 
 #: Vectors that the codebooks are fitted on, at most, about; vectors per cell aimed at; brute-force queries, at most, about.
 SAMPLE, PER_CELL, CALIBRATION = 16_384, 256, 256
 #: Neighbours drawn round each of those queries.
 DRAWN = 8
-#: Rows of either side that one task compares at a time.
-BLOCK = 2048
+#: Bytes of vectors in double precision that a block of either side holds, about, and the share of a block that a region's residents should fill.
+BLOCK_BYTES, REGION_SHARE = 32 << 20, 8
+#: Residents and visitors that are compared at a time.
+TILE = (2048, 256)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -197,67 +200,107 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def meetings(live: DataFrame, grid: Grid, dims: int, kind: str, visits: int, least: float) -> DataFrame:
+def regions_of(grid: Grid, count: int, block: int) -> tuple[np.ndarray, int]:
+    """The band of each right codeword, and how many bands there are: a region is a left codeword with a band, whose codewords lie beside
+    each other along the direction in which they differ most, and holds about a block's REGION_SHARE-th part of residents."""
+    bands = int(min(grid.k, max(1, -(-count * REGION_SHARE // (grid.k * block)))))
+    centred = grid.right - grid.right.mean(0)
+    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if grid.right.shape[1] else np.zeros(grid.k)
+    rank = np.empty(grid.k, np.int64)
+    rank[np.argsort(along, kind="stable")] = np.arange(grid.k)
+    return rank * bands // grid.k, bands
+
+
+def meetings(live: DataFrame, grid: Grid, count: int, dims: int, kind: str, visits: int, least: float) -> DataFrame:
     """row, links, root: for each row and block that it met a link in, how many, and the least row that the block's links tie it to."""
     spark = live.sparkSession
-    known = spark.sparkContext.broadcast(grid)
+    block = max(64, BLOCK_BYTES // (8 * dims))
+    band, bands = regions_of(grid, count, block)
+    known = spark.sparkContext.broadcast((grid, band))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, band = known.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 piece = batch.slice(at, 1024)
-                cells = known.value.cells(matrix(piece.column("x"), dims, kind), visits).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("x"), pa.array(cells[:, 0].astype(np.int64)), binary_array([c.tobytes() for c in cells]), pa.array(cells.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["row", "x", "home", "cells", "visited"])
-
-    dealt = materialise(live.select("row", "x").mapInArrow(deal, "row long, x binary, home long, cells binary, visited array<long>"), "cells")
-    own = dealt.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("residents"))
-    come = dealt.select(F.explode("visited").alias("cell")).groupBy("cell").agg(F.count("*").alias("visitors"))
-    blocks = own.join(come, "cell", "left").select("cell", F.expr(f"cast((residents + {BLOCK - 1}) div {BLOCK} as int)").alias("nb"), F.expr(f"cast((coalesce(visitors, 1) + {BLOCK - 1}) div {BLOCK} as int)").alias("qb"))
-    blocks = materialise(blocks, "blocks")
-    residents = dealt.withColumn("cell", F.col("home")).join(blocks, "cell").withColumn("nblock", F.pmod(F.hash("row"), F.col("nb"))).withColumn("qblock", F.explode(F.expr("sequence(0, qb - 1)")))
-    visitors = dealt.withColumn("cell", F.explode("visited")).join(blocks, "cell").withColumn("qblock", F.pmod(F.hash("row", F.lit(7)), F.col("qb"))).withColumn("nblock", F.explode(F.expr("sequence(0, nb - 1)")))
-    pick = ["cell", "nblock", "qblock", "row", "x", "home", "cells"]
-    visitors = visitors.withColumn("cells", F.lit(None).cast("binary"))  # only where a resident goes is asked
-    both = residents.select(*pick, F.lit(True).alias("lives")).union(visitors.select(*pick, F.lit(False).alias("lives")))
+                cells = g.cells(matrix(piece.column("x"), dims, kind), visits)
+                region = cells // g.k * bands + band[cells % g.k]
+                by = np.argsort(region, axis=1, kind="stable")
+                sorted_cells, sorted_regions = np.take_along_axis(cells, by, 1).ravel().astype(np.int32), np.take_along_axis(region, by, 1)
+                new = np.ones(sorted_regions.shape, bool)
+                new[:, 1:] = sorted_regions[:, 1:] != sorted_regions[:, :-1]
+                cuts = np.append(np.flatnonzero(new.ravel()), new.size)
+                each = pa.StructArray.from_arrays([pa.array(sorted_regions.ravel()[cuts[:-1]]), packed(sorted_cells, cuts)], ["region", "here"])
+                offsets = np.concatenate([[0], np.cumsum(new.sum(1))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("row"), piece.column("x"), pa.array(cells[:, 0].copy()), pa.array(region[:, 0].copy()), binary_array([c.tobytes() for c in cells.astype(np.int32)]), pa.ListArray.from_arrays(pa.array(offsets), each)],
+                    ["row", "x", "home", "lives_in", "cells", "regions"],
+                )
+
+    kinds = "row long, x binary, home long, lives_in long, cells binary, regions array<struct<region:long,here:binary>>"
+    dealt = materialise(live.select("row", "x").mapInArrow(deal, kinds), "cells")
+    come = dealt.select("lives_in", F.explode("regions.region").alias("region")).groupBy("region").agg(F.count("*").alias("visitors"), F.count_if(F.col("region") == F.col("lives_in")).alias("residents"))
+    full = come.select("region", F.expr(f"cast(greatest(1, (residents + {block - 1}) div {block}) as int)").alias("nb"), F.expr(f"cast((visitors + {block - 1}) div {block} as int)").alias("qb")).where("nb > 1 or qb > 1")
+    full = materialise(full, "full")
+    sent = dealt.select("row", "x", "home", "lives_in", "cells", F.explode("regions").alias("r")).select("row", "x", "home", "cells", "r.region", "r.here", (F.col("r.region") == F.col("lives_in")).alias("lives"))
+    sent = sent.join(full, "region", "left").withColumns({"nb": F.coalesce("nb", F.lit(1)), "qb": F.coalesce("qb", F.lit(1))})
+    sent = sent.withColumns({"n": F.pmod(F.hash("row"), F.col("nb")), "q": F.pmod(F.hash("row", F.lit(7)), F.col("qb"))})
+    # a resident meets all blocks of visitors, a visitor all blocks of residents; who is both goes once where the two coincide
+    as_resident = "transform(sequence(0, qb - 1), b -> named_struct('n', n, 'q', b, 'lives', true, 'visits', b = q))"
+    as_visitor = "transform(filter(sequence(0, nb - 1), b -> not lives or b <> n), b -> named_struct('n', b, 'q', q, 'lives', false, 'visits', true))"
+    sent = sent.withColumn("to", F.explode(F.expr(f"if(lives, concat({as_resident}, {as_visitor}), {as_visitor})")))
+    both = sent.select("region", F.col("to.n").alias("nblock"), F.col("to.q").alias("qblock"), "row", "x", "home", F.when(F.col("to.lives"), F.col("cells")).alias("cells"), F.when(F.col("to.visits"), F.col("here")).alias("here"))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["cell", "nblock", "qblock"]):
-            lives = group["lives"].to_numpy()
-            if lives.all() or not lives.any():
+        for group in grouped(batches, ["region", "nblock", "qblock"]):
+            lives = group["cells"].is_valid().to_numpy(zero_copy_only=False)
+            asked = group["here"].is_valid().to_numpy(zero_copy_only=False)
+            if not lives.any() or not asked.any():
                 continue
-            x, row, home, cell = matrix(group["x"], dims, kind), group["row"].to_numpy(), group["home"].to_numpy(), group["cell"][0].as_py()
-            m, q = np.flatnonzero(lives), np.flatnonzero(~lives)
-            visited = np.frombuffer(b"".join(group["cells"].drop_null().to_pylist()), np.int32).reshape(len(m), -1)
+            row, home = group["row"].to_numpy(), group["home"].to_numpy()
+            x = matrix(group["x"], dims, kind)
+            visited = np.frombuffer(b"".join(group["cells"].drop_null().to_pylist()), np.int32).reshape(lives.sum(), -1)
             at = np.cumsum(lives) - 1  # a resident's line in visited
+            here = [np.frombuffer(h, np.int32) for h in group["here"].drop_null().to_pylist()]
+            guest, wish = np.repeat(np.flatnonzero(asked), [len(h) for h in here]), np.concatenate(here)
+            by = np.argsort(wish, kind="stable")
+            guest, wish = guest[by], wish[by]
+            settled = np.flatnonzero(lives)
+            settled = settled[np.argsort(home[settled], kind="stable")]
+            cells, begin = np.unique(home[settled], return_index=True)
             links, ends = np.zeros(len(row), np.int64), []
-            for i in range(0, len(q), 256):
-                part = q[i : i + 256]
-                a, b = np.nonzero((x[m] @ x[part].T >= least) & (row[m][:, None] != row[part]))
-                a, b = m[a], part[b]
-                near = home[b] == cell  # both live here, and each visits the other
-                links += np.bincount(b[near], minlength=len(row))
-                a2, b2 = a[~near], b[~near]
-                # met in the visitor's cell as well, if the resident goes there: the smaller cell counts it
-                twice = np.zeros(len(a2), bool)
-                for k in range(0, len(a2), 65_536):
-                    twice[k : k + 65_536] = (visited[at[a2[k : k + 65_536]]] == home[b2[k : k + 65_536]][:, None]).any(1)
-                once = ~twice | (cell < home[b2])
-                links += np.bincount(a2[once], minlength=len(row)) + np.bincount(b2[once], minlength=len(row))
-                if len(a):
-                    root = local_roots(a, b, len(row))
-                    tied = np.flatnonzero(root != np.arange(len(row)))
-                    ends.append(np.column_stack([tied, root[tied]]))
+            for cell, own in zip(cells.tolist(), np.split(settled, begin[1:]), strict=True):
+                come = guest[np.searchsorted(wish, cell, "left") : np.searchsorted(wish, cell, "right")]
+                for i in range(0, len(own), TILE[0]):
+                    for j in range(0, len(come), TILE[1]):
+                        m, part = own[i : i + TILE[0]], come[j : j + TILE[1]]
+                        a, b = np.nonzero((x[m] @ x[part].T >= least) & (row[m][:, None] != row[part]))
+                        if not len(a):
+                            continue
+                        a, b = m[a], part[b]
+                        near = home[b] == cell  # both live here, and each visits the other
+                        links += np.bincount(b[near], minlength=len(row))
+                        a2, b2 = a[~near], b[~near]
+                        # met in the visitor's cell as well, if the resident goes there: the smaller cell counts it
+                        twice = np.zeros(len(a2), bool)
+                        for k in range(0, len(a2), 65_536):
+                            twice[k : k + 65_536] = (visited[at[a2[k : k + 65_536]]] == home[b2[k : k + 65_536]][:, None]).any(1)
+                        once = ~twice | (cell < home[b2])
+                        links += np.bincount(a2[once], minlength=len(row)) + np.bincount(b2[once], minlength=len(row))
+                        few, tied = np.unique(np.concatenate([a, b]), return_inverse=True)
+                        root = local_roots(tied[: len(a)], tied[len(a) :], len(few))
+                        ends.append(np.column_stack([few, few[root]]))
             if not ends:
                 continue
-            # a row may be here twice, as resident and as visitor: the same row is one node
-            ids, node = np.unique(row, return_inverse=True)
             e = np.concatenate(ends)
-            root = local_roots(node[e[:, 0]], node[e[:, 1]], len(ids))
-            total = np.bincount(node, links, len(ids)).astype(np.int64)
-            tied = np.flatnonzero((total > 0) | (root != np.arange(len(ids))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(total[tied]), pa.array(ids[root[tied]])], ["row", "links", "root"])
-
-    keys = ["cell", "nblock", "qblock"]
+            order = np.argsort(row, kind="stable")  # the least row of a tie names it
+            place = np.empty(len(row), np.int64)
+            place[order] = np.arange(len(row))
+            root = order[local_roots(place[e[:, 0]], place[e[:, 1]], len(row))][place]
+            tied = np.flatnonzero((links > 0) | (root != np.arange(len(row))))
+            yield pa.RecordBatch.from_arrays([pa.array(row[tied]), pa.array(links[tied]), pa.array(row[root[tied]])], ["row", "links", "root"])
+
+    keys = ["region", "nblock", "qblock"]
     return both.repartition(parts(spark), *keys).sortWithinPartitions(*keys).mapInArrow(meet, "row long, links long, root long")
 
 
@@ -283,7 +326,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, target: float = 0.99
         visits, share = visits_needed(live, grid, dims, kind, least, target)
         if report is not None:
             report.append((dims, size["rows"], grid.k, visits, share))
-        found.append(materialise(meetings(live, grid, dims, kind, visits, least), "met"))
+        found.append(materialise(meetings(live, grid, size["rows"], dims, kind, visits, least), "met"))
     if not found:  # nothing to compare
         return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     met = reduce(DataFrame.union, found)

@@ -136,10 +136,12 @@ def test_index_visits_without_links_are_measured(spark, monkeypatch):
 
 
 def test_index_blocks_count_each_link_once(spark, monkeypatch):
-    monkeypatch.setattr(multi_index, "BLOCK", 7)
+    monkeypatch.setattr(multi_index, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(multi_index, "TILE", (5, 3))
     rng = np.random.default_rng(2)
     c = rng.normal(size=16)
-    rows = [(i, np.float32(c + rng.normal(size=16) * 0.02).tolist(), 0) for i in range(60)] + [(100 + i, np.float32(v).tolist(), 0) for i, v in enumerate(rng.normal(size=(60, 16)))]
+    rows = [(i, np.float32(c + rng.normal(size=16) * 0.02).tolist(), 0) for i in range(200)] + [(1000 + i, np.float32(v).tolist(), 0) for i, v in enumerate(rng.normal(size=(300, 16)))]
+    monkeypatch.setattr(multi_index, "PER_CELL", 16)
     truth = brute(rows)
     out = {r.vec_id: (r.n_links, r.component_id) for r in multi_index.near_duplicates(vectors(spark, rows), target=1.0).collect()}
     assert out == truth
