@@ -507,10 +507,14 @@ def range_and_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("select o_orderkey as key, o_custkey::decimal(20, 0) + 18446744073709000000 as big, ascii(substr(o_orderstatus, 1, 1)) as code from orders")
 def unsigned_and_char(spark: SparkSession, sf_dir: str) -> DataFrame:
-    big = (F.col("o_custkey").cast("decimal(20,0)") + F.lit("18446744073709000000").cast("decimal(20,0)")).cast("decimal(20,0)")
-    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), big.alias("big"), F.col("o_orderstatus").alias("letter"))
-    out = through_blobs(df, Struct("Row", [("key", I64), ("big", U64), ("letter", Primitive("char"))]))
-    return out.select("key", F.col("big").cast("decimal(21,0)").alias("big"), F.ascii("letter").alias("code"))
+    """Numbers at the upper end of u64, those beyond it as a variant of their own, and characters."""
+    node = Enum("Big", [Variant("Fits", "newtype", [U64]), Variant("Wide", "newtype", [Newtype("decimal(21,0)", Primitive("i128"))])])
+    big = F.col("o_custkey").cast("decimal(20,0)") + F.lit("18446744073709000000").cast("decimal(20,0)")
+    fits = big <= F.lit("18446744073709551615").cast("decimal(20,0)")
+    either = F.struct(F.when(fits, "Fits").otherwise("Wide").alias("tag"), F.when(fits, big.cast("decimal(20,0)")).alias("Fits"), F.when(~fits, big).alias("Wide"))
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), either.alias("big"), F.col("o_orderstatus").alias("letter"))
+    out = through_blobs(df, Struct("Row", [("key", I64), ("big", node), ("letter", Primitive("char"))]))
+    return out.select("key", F.coalesce(F.col("big.Fits").cast("decimal(21,0)"), F.col("big.Wide")).alias("big"), F.ascii("letter").alias("code"))
 
 
 @_query("select l_orderkey as key, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') as flags, count(distinct l_returnflag)::int as n from lineitem group by l_orderkey")

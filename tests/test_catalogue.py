@@ -47,6 +47,17 @@ def test_query(spark, con, name):
         assert got == sorted(tuple(plain(r[have.index(c)]) for c in names) for r in out.fetchall())
 
 
+def test_unsigned_and_char_keeps_numbers_beyond_u64(spark, tmp_path):
+    keys = [0, 551_614, 551_615, 551_616, 899_999, 2**63 - 1]  # 551,615 makes the largest u64
+    orders = f"'{tmp_path}/orders.parquet'"
+    con = duckdb.connect()
+    con.execute(f"copy (select i::bigint as o_orderkey, k::bigint as o_custkey, 'F' as o_orderstatus from (select unnest(range({len(keys)})) i, unnest({keys}) k)) to {orders}")
+    con.execute(f"create view orders as select * from {orders}")
+    got = catalogue.QUERIES["unsigned_and_char"](spark, str(tmp_path)).select("key", "big", "code").collect()
+    assert sorted((r["key"], int(r["big"]), r["code"]) for r in got) == sorted((a, int(b), c) for a, b, c in con.execute(catalogue.ORACLE_SQL["unsigned_and_char"]).fetchall())
+    assert max(int(r["big"]) for r in got) == 2**63 - 1 + 18446744073709000000
+
+
 def test_entry_registers_without_the_optional_folder(monkeypatch):
     import __spark_entry__ as entry
 
