@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -94,10 +95,19 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterat
         at = end
 
 
+def free_unused() -> None:
+    """Gives memory that this process has freed back to the system, where its C library can: workers live on between tasks, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], name: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         for piece in slices(batch, name):
             yield piece, *text_parts(piece.column(name))
+    free_unused()
 
 
 def binary_array(blobs: list[bytes]) -> pa.Array:

@@ -25,6 +25,8 @@ WORD_ROWS, WORD_DIMS, SHAPE_ROWS, SHAPE_DIMS, WINDOW, SIGNS = 1 << 15, 64, 256,
 FEATURES = WORD_DIMS + SHAPE_DIMS + 2
 #: Labelled rows that the network is trained on, about (all, if there are fewer), and the hidden layer.
 TRAIN_ROWS, HIDDEN = 20_000, 32
+#: Tokens whose vectors are gathered at a time; a longer text's are added up in such runs.
+GATHERED = 1 << 16
 
 _CLASS = np.full(256, 3, np.uint8)  # signs
 _CLASS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(128, 256)]] = 1
@@ -49,9 +51,13 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
     words = (span_hashes(data, starts, ends, fold=True) % np.uint64(WORD_ROWS)).astype(np.int64)
-    upper = np.concatenate([[0], np.cumsum(_UPPER[data])])
-    lower = np.concatenate([[0], np.cumsum(_LOWER[data])])
-    many, few = upper[ends] - upper[starts], lower[ends] - lower[starts]
+
+    def within(table: np.ndarray) -> np.ndarray:
+        before = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(table[data], out=before[1:])
+        return before[ends] - before[starts]
+
+    many, few = within(_UPPER), within(_LOWER)
     case = np.where(few > 0, np.where(_UPPER[data[starts]] > 0, 1, np.where(many > 0, 2, 0)), np.where(many > 0, 3, 4))
     length = np.minimum(np.log2(ends - starts).astype(np.int64), 5)
     sort = kind[starts].astype(np.int64)
@@ -74,7 +80,8 @@ def add_contexts(total: np.ndarray, tokens: np.ndarray, text: np.ndarray, dims:
         for a, b in ((left, right), (right, left)):
             for k in range(SIGNS):
                 at, sign = a * dims + places[b, k], signs[b, k] > 0
-                total += np.bincount(at[sign], minlength=len(total)) - np.bincount(at[~sign], minlength=len(total))
+                total += np.bincount(at[sign], minlength=len(total))
+                total -= np.bincount(at[~sign], minlength=len(total))
 
 
 def word_tables(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -82,14 +89,15 @@ def word_tables(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     split = WORD_ROWS * WORD_DIMS
 
     def count(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
-        words, shapes = np.zeros(split, np.int64), np.zeros(SHAPE_ROWS * SHAPE_DIMS, np.int64)
+        flat = np.zeros(split + SHAPE_ROWS * SHAPE_DIMS, np.int64)
+        words, shapes = flat[:split], flat[split:]
         of_words, of_shapes = index_vectors(WORD_ROWS, WORD_DIMS, 1), index_vectors(SHAPE_ROWS, SHAPE_DIMS, 2)
         for _, data, offsets in text_slices(batches):
             w, s, first = tokens_of(data, offsets)
             text = np.repeat(np.arange(len(first) - 1), np.diff(first))
             add_contexts(words, w, text, WORD_DIMS, of_words)
             add_contexts(shapes, s, text, SHAPE_DIMS, of_shapes)
-        return np.concatenate([words, shapes])
+        return flat
 
     flat = summed_array(docs.select("text"), count, split + SHAPE_ROWS * SHAPE_DIMS)
 
@@ -99,6 +107,26 @@ def word_tables(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return unit(flat[:split].reshape(WORD_ROWS, WORD_DIMS).astype(np.float64)), unit(flat[split:].reshape(SHAPE_ROWS, SHAPE_DIMS).astype(np.float64))
 
 
+def vector_sums(table: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of each text's rows of the table. first: where each text's begin, and the end; no text is without.
+
+    Runs are cut from each text's own beginning, so equal texts have equal sums, whatever lies beside them."""
+    count = np.diff(first)
+    runs_of = -(-count // GATHERED)
+    text = np.repeat(np.arange(len(count)), runs_of)
+    begin = first[text] + GATHERED * (np.arange(len(text)) - np.repeat(np.cumsum(runs_of) - runs_of, runs_of))
+    end = np.append(begin[1:], first[-1])
+    out = np.zeros((len(count), table.shape[1]), table.dtype)
+    at = 0
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(end, begin[at] + GATHERED, "right")))  # a full run is alone, so no text is here twice
+        got = table[rows[begin[at] : end[to - 1]]]
+        got[0] += out[text[at]]
+        out[text[at:to]] = np.add.reduceat(got, begin[at:to] - begin[at], axis=0)
+        at = to
+    return out
+
+
 def pooled(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """The features of each text: mean word and shape vectors, log of the token count, share of distinct tokens."""
     w, s, first = tokens_of(data, offsets)
@@ -106,9 +134,9 @@ def pooled(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, shapes: np.
     out = np.zeros((len(count), FEATURES), np.float32)
     some = np.flatnonzero(count)
     if len(some):
-        at, n = first[:-1][some], count[some][:, None]
-        out[some, :WORD_DIMS] = np.add.reduceat(words[w], at, axis=0) / n
-        out[some, WORD_DIMS:-2] = np.add.reduceat(shapes[s], at, axis=0) / n
+        bounds, n = np.append(first[:-1][some], first[-1]), count[some][:, None]
+        out[some, :WORD_DIMS] = vector_sums(words, w, bounds) / n
+        out[some, WORD_DIMS:-2] = vector_sums(shapes, s, bounds) / n
         text = np.repeat(np.arange(len(count)), count)
         out[some, -1] = np.bincount(np.unique(text * WORD_ROWS + w) // WORD_ROWS, minlength=len(count))[some] / count[some]
     out[:, -2] = np.log1p(count)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+#: Bytes that are hashed at a time; a longer span is hashed by itself.
+ROUND_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -65,11 +67,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A hash of each span's bytes. fold: as if A-Z were a-z."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTES)[data] * powers(BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    """A hash of each span's bytes; starts and ends ascend. fold: as if A-Z were a-z."""
+    table = _FOLDED if fold else _BYTES
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + ROUND_BYTES, "right")))
+        n = int(ends[to - 1]) - low
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(table[data[low : low + n]] * powers(BASE, n), out=total[1:])
+        a, b = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = mix((total[b] - total[a]) * powers(INVERSE, n + 1)[a] + (b - a).astype(np.uint64))
+        at = to
+    return out
 
 
 def gram_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

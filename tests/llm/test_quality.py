@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 
-from lamella.llm import quality
+from lamella.llm import quality, wordhash
 from lamella.llm.quality import Network, keep_good, quality_scores
 from lamella.llm.wordhash import span_hashes
 from tests.llm.helpers import clashing, documents, odd_documents, words
@@ -116,3 +117,36 @@ def test_temperature_calibrates():
     for low in (0.2, 0.5, 0.8):
         near = (p > low - 0.1) & (p < low + 0.1)
         assert abs(y[near].mean() - p[near].mean()) < 0.12
+
+
+def test_memory_stays_small_beside_a_slice_of_text():
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, 250)).encode() for _ in range(2100)]  # about 2 MB, as text_slices gives
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    tables = np.ones((quality.WORD_ROWS, quality.WORD_DIMS), np.float32), np.ones((quality.SHAPE_ROWS, quality.SHAPE_DIMS), np.float32)
+    powers = dict(wordhash._powers)
+    wordhash._powers.update({k: np.ones(1, np.uint64) for k in powers})
+    tracemalloc.start()
+    try:
+        quality.pooled(data, offsets, *tables)
+        assert tracemalloc.get_traced_memory()[1] < 32 * len(data)
+    finally:
+        tracemalloc.stop()
+        wordhash._powers.update(powers)
+
+
+def test_runs_of_tokens_and_bytes_change_nothing():
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 123, 3 * wordhash.ROUND_BYTES, dtype=np.uint8)
+    cuts = np.sort(rng.choice(len(data), 5000, replace=False))
+    cuts = np.concatenate([cuts[:2000], cuts[2000:][cuts[2000:] > cuts[1999] + wordhash.ROUND_BYTES + 9]])  # one span longer than a round
+    got = span_hashes(data, cuts[:-1], cuts[1:])
+    assert all(got[i] == span_hashes(data[a:b], np.array([0]), np.array([b - a]))[0] for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    table = rng.normal(size=(50, 4)).astype(np.float32)
+    count = np.array([3, 1, 2 * quality.GATHERED + 5, quality.GATHERED, 7, 3 * quality.GATHERED, 1])
+    first = np.concatenate([[0], np.cumsum(count)])
+    rows = rng.integers(0, 50, first[-1])
+    sums = quality.vector_sums(table, rows, first)
+    assert all(np.allclose(s, table[rows[a:b]].astype(np.float64).sum(0), rtol=1e-3, atol=0.5) for s, a, b in zip(sums, first, first[1:], strict=False))
+    again = quality.vector_sums(table, np.concatenate([rows[:2], rows[first[2] : first[3]]]), np.array([0, 2, 2 + count[2]]))
+    assert (again[1] == sums[2]).all()  # whatever lies beside a text
